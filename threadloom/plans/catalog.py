@@ -1,4 +1,237 @@
-"""Every query of the search engine, with its SQL."""
+"""Every query of the search engine over the test tables, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.functions.porter import stems
+from threadloom.functions.text import STOPWORDS, contains_sequence, html_strip, int_or, simple_tokens, treebank_tokens, url_basename
+from threadloom.operators import etl
+from threadloom.operators.index import build, gaps
+from threadloom.operators.search import SearchEngine
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
+_TOKENS = rf"""
+tok as (select doc_id as cid, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') as toks from documents),
+pos as (select cid, unnest(toks) as term, unnest(range(len(toks))) as pos from tok),
+kept as (select * from pos where term not in ({_STOP})),
+dl as (select cid, count(*) as doc_len from kept group by cid),
+post as (select term, cid, count(*) as k, count(*) / any_value(doc_len) as tf, string_agg(pos::varchar, ',' order by pos) as positions from kept join dl using (cid) group by term, cid),
+n as (select count(*) as n from documents),
+terms as (select term, count(*) as df, (select n from n)::double / count(*) as idf from post group by term)"""
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("cid"), "text")
+
+
+def _threads(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn of a conversation answers the one before."""
+    cid = F.col("conv_id") * 1000 + F.col("turn")
+    return _table(spark, d, "conversations").select(cid.alias("cid"), "text", F.when(F.col("turn") > 0, cid - 1).alias("parent_cid"))
+
+
+def _engine(spark: SparkSession, d: str) -> SearchEngine:
+    return SearchEngine(build(_docs(spark, d)))
+
+
+def _ranked(query: str, k: int | None, spark: SparkSession, d: str) -> DataFrame:
+    out = _engine(spark, d).search(query, top_k=k)
+    return out.select(*(c for c in ("rank", "cid") if c in out.columns), F.round("score", 9).alias("score"))
+
+
+def _ids(query: str, spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d).search(query)
+
+
+def _rank_sql(condition: str, weight: str, order: str, k: int | None) -> str:
+    """Ranking by cosine. weight: wq of a term; order: its place in the query."""
+    rank = "select rank, cid, round(score, 9) as score from r" + (f" where rank <= {k}" if k else "")
+    return f"""with {_TOKENS},
+q as (select term, idf, {weight} as wq, {order} as ord from terms where {condition}),
+s as (select cid, sum(tf * idf * wq) as dot, sqrt(sum(tf * idf * tf * idf)) as nd, min(ord) as first from post join q using (term) group by cid),
+r as (select row_number() over (order by round(dot / (nd * (select sqrt(sum(wq * wq)) from q)), 12) desc, first, cid) as rank, cid, dot / (nd * (select sqrt(sum(wq * wq)) from q)) as score from s)
+{rank if k else rank.replace("rank, ", "", 1)}"""
+
+
+def _set_sql(operator: str, *terms: str) -> str:
+    t = " union all ".join(f"select distinct cid, {i} as i from post where term {x}" for i, x in enumerate(terms))
+    live = "(select list(distinct i order by i) from t)"
+    keep = {"AND": f"s = {live}", "OR": "true", "NOT": f"s = [{live}[1]]"}[operator]
+    return f"with {_TOKENS}, t as ({t}), g as (select cid, list(distinct i order by i) as s from t group by cid) select cid from g where {keep}"
+
+
+def _phrase_sql(words: list[str], terms: list[str]) -> str:
+    hits = " ".join(f"join kept k{i} on k{i}.cid = t.cid and k{i}.term = '{w}'" + (f" and k{i}.pos = k{i - 1}.pos + 1" if i else "") for i, w in enumerate(terms))
+    return f"with {_TOKENS} select distinct t.cid from tok t {hits} where list_contains(list_transform(range(1, len(t.toks) + 1), lambda i: t.toks[i : i + {len(words) - 1}] = {words}), true)"
+
+
+def keyword_text(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d).search("pathetic worthless", ids_only=False, top_k=10).select("cid", F.sha2("text", 256).alias("text_sha"))
+
+
+def search_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d).search_many(["pathetic", "thtion*", "pathetic AND scum"], top_k=20)
+
+
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return build(_docs(spark, d)).postings.select("term", "cid", F.round("tf", 12).alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def terms_idf(spark: SparkSession, d: str) -> DataFrame:
+    return build(_docs(spark, d)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+def doc_stats(spark: SparkSession, d: str) -> DataFrame:
+    return build(_docs(spark, d)).docs.select("cid", F.size("toks").cast("bigint").alias("n_tokens"), F.col("doc_len").cast("bigint").alias("doc_len"))
+
+
+def distinct_terms(spark: SparkSession, d: str) -> DataFrame:
+    return build(_docs(spark, d)).postings.agg(F.countDistinct("term").alias("n_terms"))
+
+
+def tfidf_lookup(spark: SparkSession, d: str) -> DataFrame:
+    i = build(_docs(spark, d))
+    got = i.postings.where("term = 'pathetic'").join(i.terms.where("term = 'pathetic'"), "term")
+    docs = i.docs.select("cid").join(got.select("cid", "tf", "idf"), "cid", "left")
+    return docs.select("cid", F.round(F.coalesce("tf", F.lit(0.0)), 12).alias("tf"), F.col("idf").isNotNull().alias("has_term"))
+
+
+def posting_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return gaps(build(_docs(spark, d)).postings)
+
+
+def reply_index(spark: SparkSession, d: str) -> DataFrame:
+    r = build(_threads(spark, d)).replies
+    return r.groupBy("parent_cid").agg(F.array_join(F.array_sort(F.collect_list("child_cid")).cast("array<string>"), ",").alias("children"), F.count("*").alias("n"))
+
+
+def reply_to(spark: SparkSession, d: str) -> DataFrame:
+    return SearchEngine(build(_threads(spark, d))).search("ReplyTo:3001")
+
+
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", F.trim(html_strip(F.col("html")), F.lit(" \n\t\r")).alias("text"))
+
+
+def url_names(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", url_basename(F.col("url")).alias("name"))
+
+
+def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "doc_id")
+    return etl.first_of_each(docs, "key", ["doc_id"])
+
+
+def dup_counts(spark: SparkSession, d: str) -> DataFrame:
+    return etl.duplicate_counts(_table(spark, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")), "key")
+
+
+def author_ids(spark: SparkSession, d: str) -> DataFrame:
+    return etl.appearance_ids(_table(spark, d, "events").select("ts", "event_id", "user_id"), "user_id", ["ts", "event_id"], "author_id")
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return etl.run_ids(_table(spark, d, "events").select("ts", "event_id", "user_id", "event_type"), "event_type", ["ts", "event_id"], F.date_trunc("hour", "ts"), "run")
+
+
+def article_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d).select("event_id", "run")
+
+
+def comment_ids(spark: SparkSession, d: str) -> DataFrame:
+    e = _runs(spark, d).withColumn("orig", F.col("user_id").cast("string"))
+    return etl.comment_ids(e, "run", "orig", ["ts", "event_id"], "cid")
+
+
+def parent_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of user and system break the thread above them: only what hangs on turn 0 without a gap at turn 2 stays."""
+    c = _threads(spark, d).where("not (cid % 1000 = 2 and cid % 7 = 0)")
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="threadloom-"))
+    rows = c.select(F.floor(F.col("cid") / 1000).alias("run"), F.col("cid").alias("seq"), F.col("cid").cast("string").alias("orig_id"), F.col("parent_cid").cast("string").alias("orig_parent"))
+    return etl.resolved_parents(rows).select(F.col("seq").alias("cid"), F.col("depth").cast("bigint").alias("depth"))
+
+
+_QUERY_VECTOR = [0.1 * ((i % 7) - 3) for i in range(64)]
+
+
+def cosine(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "embeddings")
+    return e.select("vec_id", F.round(etl.cosine_to(e, "embedding", _QUERY_VECTOR), 9).alias("cosine"))
+
+
+def euclid(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "embeddings")
+    return e.select("vec_id", F.round(etl.euclid_to(e, "embedding", _QUERY_VECTOR), 9).alias("distance"))
+
+
+def sha256(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select("event_id", F.sha2("props", 256).alias("sha"))
+
+
+def int_parse(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", int_or(F.regexp_extract("url", r"([^/]*)$", 1), F.lit(-1)).alias("number"))
+
+
+def phrase_in_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document's tokens hold the tokens 'of the' in a row."""
+    docs = _docs(spark, d).select("cid", simple_tokens(F.col("text")).alias("t"))
+    return docs.select("cid", contains_sequence(F.col("t"), F.array(F.lit("of"), F.lit("the"))).alias("has"))
+
+
+def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    words = _docs(spark, d).select(F.explode(simple_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", stems(F.col("word")).alias("stem"))
+
+
+def treebank_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("cid", F.size(treebank_tokens(F.col("text"))).cast("bigint").alias("n"))
+
+
+QUERIES = {
+    "keyword_topk": partial(_ranked, "pathetic worthless scum", 10), "keyword_single_tie": partial(_ranked, "pathetic", 25), "keyword_all": partial(_ranked, "pathetic trash", None),
+    "prefix_topk": partial(_ranked, "thtion*", 20), "phrase": partial(_ids, "'the er'"), "phrase_terms": partial(_ids, "'license version 2'"),
+    "bool_and": partial(_ids, "pathetic AND scum"), "bool_or": partial(_ids, "pathetic OR scum OR moron"), "bool_not": partial(_ids, "pathetic NOT scum"),
+    "bool_empty_operand": partial(_ids, "pathetic AND zzzzzz"), "bool_prefix": partial(_ids, "thtion* NOT pathetic"), "query_error": partial(_ids, "NOT pathetic"),
+} | {f.__name__: f for f in (keyword_text, search_batch, postings, terms_idf, doc_stats, distinct_terms, tfidf_lookup, posting_gaps, reply_index, reply_to, html_text, url_names, dedupe_first, dup_counts, author_ids, article_runs, comment_ids, parent_resolve, cosine, euclid, sha256, int_parse, phrase_in_tokens, stem_vocabulary, treebank_counts)}
+
+_KEYS = lambda *w: (f"term in ({', '.join(repr(x) for x in w)})", f"idf / {len(w)}", "case term " + " ".join(f"when '{x}' then {i}" for i, x in enumerate(w)) + " end")
+_PREFIX = ("starts_with(term, 'thtion')", "idf / (select count(*) from terms where starts_with(term, 'thtion'))", "term")
+_RUNS = "e as (select *, lag(event_type) over (order by ts, event_id) as last, row_number() over (order by ts, event_id) as rn from events), runs as (select *, sum(case when rn > 1 and event_type is distinct from last then 1 else 0 end) over (order by ts, event_id) as run from e)"
+_VECTOR = "[" + ", ".join(f"{v!r}::double" for v in _QUERY_VECTOR) + "]"
+_TURNS = "c as (select conv_id * 1000 + turn as cid, case when turn > 0 then conv_id * 1000 + turn - 1 end as parent, text from conversations)"
+
+ORACLES = {
+    "keyword_topk": _rank_sql(*_KEYS("pathetic", "worthless", "scum"), 10), "keyword_single_tie": _rank_sql(*_KEYS("pathetic"), 25), "keyword_all": _rank_sql(*_KEYS("pathetic", "trash"), None),
+    "prefix_topk": _rank_sql(*_PREFIX, 20), "phrase": _phrase_sql(["the", "er"], ["er"]), "phrase_terms": _phrase_sql(["license", "version", "2"], ["license", "version", "2"]),
+    "bool_and": _set_sql("AND", "= 'pathetic'", "= 'scum'"), "bool_or": _set_sql("OR", "= 'pathetic'", "= 'scum'", "= 'moron'"), "bool_not": _set_sql("NOT", "= 'pathetic'", "= 'scum'"),
+    "bool_empty_operand": _set_sql("AND", "= 'pathetic'", "= 'zzzzzz'"), "bool_prefix": _set_sql("NOT", "like 'thtion%'", "= 'pathetic'"), "query_error": "select doc_id as cid from documents where false",
+    "keyword_text": f"with a as ({_rank_sql(*_KEYS('pathetic', 'worthless'), 10)}) select cid, sha256(text) as text_sha from a join documents on cid = doc_id",
+    "search_batch": f"select 0::int as query_id, cid from ({_rank_sql(*_KEYS('pathetic'), 20)}) union all select 1, cid from ({_rank_sql(*_PREFIX, 20)}) union all select 2, cid from ({_set_sql('AND', chr(61) + chr(39) + 'pathetic' + chr(39), chr(61) + chr(39) + 'scum' + chr(39))})",
+    "postings": f"with {_TOKENS} select term, cid, round(tf, 12) as tf, positions from post", "terms_idf": f"with {_TOKENS} select term, df, round(idf, 9) as idf from terms",
+    "doc_stats": f"with {_TOKENS} select cid, len(toks)::bigint as n_tokens, coalesce(doc_len, 0)::bigint as doc_len from tok left join dl using (cid)",
+    "distinct_terms": f"with {_TOKENS} select count(distinct term) as n_terms from post",
+    "tfidf_lookup": f"with {_TOKENS} select t.cid, round(coalesce(tf, 0), 12) as tf, tf is not null as has_term from tok t left join post p on p.cid = t.cid and p.term = 'pathetic'",
+    "posting_gaps": f"with {_TOKENS} select term, cid, cid - coalesce(lag(cid) over (partition by term order by cid), 0) as gap from post",
+    "reply_index": f"with {_TURNS} select parent as parent_cid, string_agg(cid::varchar, ',' order by cid) as children, count(*) as n from c where parent is not null and parent <> 0 and parent <> cid group by parent",
+    "reply_to": f"with {_TURNS} select cid from c where parent = 3001",
+    "html_text": r"select page_id, trim(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(html, E' \t\n\r'), '(?is)<script.*?>.*?</script.*?>', '', 'g'), '(?is)<style.*?>.*?</style.*?>', '', 'g'), '(?s)<!--.*?-->[\n]?', '', 'g'), '(?s)<.*?>', ' ', 'g'), '&nbsp;', ' '), '  ', ' '), '  ', ' '), E' \n\t\r') as text from pages",
+    "url_names": r"select page_id, regexp_extract(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '[^/]*$') as name from pages",
+    "dedupe_first": "select sha256(coalesce(text, '')) as key, min(doc_id) as doc_id from documents group by 1", "dup_counts": "select sha256(coalesce(text, '')) as key, count(*) as n from documents group by 1",
+    "author_ids": "with f as (select user_id, min((ts, event_id)) as seen from events where user_id is not null group by 1) select user_id, row_number() over (order by seen) - 1 as author_id from f",
+    "article_runs": f"with {_RUNS} select event_id, run::bigint as run from runs",
+    "comment_ids": f"with {_RUNS}, f as (select run, user_id::varchar as orig, min((ts, event_id)) as seen from runs where user_id is not null group by 1, 2) select run::bigint as run, orig, row_number() over (order by run, seen) - 1 as cid from f",
+    "parent_resolve": f"with recursive {_TURNS}, k as (select * from c where not (cid % 1000 = 2 and cid % 7 = 0)), r as (select cid, 0::bigint as depth from k where parent is null union all select k.cid, depth + 1 from r join k on k.parent = r.cid) select * from r",
+    "cosine": f"select vec_id, round(list_cosine_similarity(embedding::double[], {_VECTOR}), 9) as cosine from embeddings", "euclid": f"select vec_id, round(list_distance(embedding::double[], {_VECTOR}), 9) as distance from embeddings",
+    "sha256": "select event_id, sha256(props) as sha from events", "int_parse": "select page_id, coalesce(try_cast(regexp_extract(url, '([^/]*)$', 1) as bigint), -1) as number from pages",
+    "phrase_in_tokens": f"with {_TOKENS} select cid, coalesce(list_contains(list_transform(range(1, len(toks)), lambda i: toks[i] = 'of' and toks[i + 1] = 'the'), true), false) as has from tok",
+}
