@@ -6,14 +6,15 @@ minhashes. At a similarity of s one collection matches with 1 - (1 - s**ROWS)**T
 some table with the square of that: 0.997 at 0.8, 0.9999 at 0.85.
 
 Documents with equal sets are one class from the start (by a 128-bit digest), and only classes enter the tables.
-Within a table's group no pairs are listed: each class is compared with the group's least class. What was
-confirmed is joined to components. Of each group that then still lies in several components, the classes outside
-its largest one are compared with those in other components, where the distances to the group's least class allow
-a link at all (Jaccard distance is a metric). So no pair that met in a table and lies in two components stays unseen.
+Within a table's group no pairs are listed: each class is compared with one of the group, drawn by a hash. Before full sets
+are fetched, sizes must allow a link and the low bytes of the minhashes must agree in number (at five standard
+deviations below what a link has, one link in some million is lost). What was confirmed is joined to components; of
+each group that then still lies in several components, the classes outside its largest one are compared with those in other
+components by the same two steps. So no likely pair that met in a table and lies in two components stays unseen.
 
 Defined cases: null and empty texts, and those without words, have an empty set and link with nothing; a text of
 fewer words than a shingle is one shingle; rows that repeat a doc_id are linked, as they share the id; if
-their texts differ, each row counts its own set and the least text is compared with other documents; rows with a null doc_id take part in nothing, are their own document with a null component,
+their texts differ, each row counts its own set and one of the texts is compared with other documents; rows with a null doc_id take part in nothing, are their own document with a null component,
 and are kept.
 """
 
@@ -64,16 +65,16 @@ def _seeds(n: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(SEED * 2 + 1))
 
 
-SKETCH = "n_shingles bigint, set_hi bigint, set_lo bigint, a array<bigint>, b array<bigint>"
+SKETCH = "n_shingles bigint, set_hi bigint, set_lo bigint, a array<bigint>, b array<bigint>, sk array<bigint>"
 
 
 def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int = ROWS) -> Column:
-    """A struct (SKETCH): the size of a text's set, its digest, and the half keys of both collections."""
+    """A struct (SKETCH): the size of a text's set, its digest, and the half keys of both collections, and the low byte of each minhash."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, seeds = _word_hashes(), _seeds(2 * tables * rows)
         for part in arrays:
-            n, hi, lo, keys = [], [], [], []
+            n, hi, lo, keys, low = [], [], [], [], []
             for t in part:
                 s = shingles(t.as_py(), width, hashes)
                 n.append(len(s))
@@ -88,6 +89,7 @@ def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int
                         x ^= x >> _S33
                         x *= _M2
                         np.minimum(least, x.min(1), out=least)
+                low.append(np.pad(least.astype(np.uint8), (0, -len(least) % 8)).view(np.int64))
                 half = least.reshape(2 * tables, rows)
                 key = np.zeros(2 * tables, np.uint64)
                 for r in range(rows):
@@ -96,7 +98,9 @@ def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int
             k = np.array(keys, np.int64).reshape(-1, 2, tables)
             offsets = pa.array(np.arange(0, len(k) * tables + 1, tables), pa.int32())
             sides = [pa.ListArray.from_arrays(offsets, pa.array(k[:, i].ravel())) for i in (0, 1)]
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *sides], ["n_shingles", "set_hi", "set_lo", "a", "b"])
+            bytes8 = -(-2 * tables * rows // 8)
+            sides.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(k) * bytes8 + 1, bytes8), pa.int32()), pa.array(np.array(low, np.int64).ravel())))
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *sides], ["n_shingles", "set_hi", "set_lo", "a", "b", "sk"])
 
     return F.arrow_udf(run, SKETCH)(text)
 
@@ -123,26 +127,50 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return got.select("u", "v", both.alias("both"), (F.size("su") + F.size("sv") - both).alias("either"))
 
 
-def linked(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (u, v) that join all nodes of a component. members: (key, node), the classes in each table's groups."""
-    groups = members.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    held = cut(members.join(groups.select("key", "rep"), "key"))
-    distance = 1 - F.col("both") / F.col("either")
-    met = cut(confirmed(cut(held.where("node <> rep").select(F.col("rep").alias("u"), F.col("node").alias("v")).distinct()), texts, width).withColumn("d", distance))
-    links = met.where(F.col("both") * 100 >= F.col("either") * percent).select("u", "v")
+def _likely(percent: int) -> Column:
+    """Whether sizes (na, nb) allow a link, and the minhash bytes (s0a and on, s0b and on) agree often enough: five deviations below the mean at ``percent``."""
+    count, p = 2 * TABLES * ROWS, percent / 100
+    differ = F.lit(0)
+    for i in range(-(-count // 8)):
+        x = F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    most = int(count * (1 - p) + 5 * (count * p * (1 - p)) ** 0.5) + 1
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ <= most)
+
+
+def _about(side: str) -> list[Column]:
+    """A node's size and minhash bytes as plain columns, which a join's condition reads fastest."""
+    return [F.col("n").alias(f"n{side}"), *(F.get("sk", i).alias(f"s{i}{side}") for i in range(-(-2 * TABLES * ROWS // 8)))]
+
+
+def linked(texts: DataFrame, members: DataFrame, info: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (u, v) that join all nodes of a component.
+
+    members: (key, node), the classes in each table's groups; info: (node, n, sk), sizes and minhash bytes.
+    """
+    # Another order in each group, so that the many groups of one cluster compare it with many of its members.
+    groups = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", F.col("r.node").alias("rep"))
+    held = cut(members.join(groups.select("key", "rep"), "key").where("node <> rep"))
+    about = lambda c, x: info.select(F.col("node").alias(c), *_about(x))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        got = confirmed(cut(pairs), texts, width)
+        return cut(got.where(F.col("both") * 100 >= F.col("either") * percent).select("u", "v"))
+
+    stars = held.select(F.least("rep", "node").alias("u"), F.greatest("rep", "node").alias("v")).distinct()
+    links = confirm(stars.join(about("u", "a"), "u").join(about("v", "b"), "v").where(_likely(percent)).select("u", "v"))
     comp = cut(components(links))
-    # What is left: pairs of one group in two components, of which one isn't the group's largest. Distances to the
-    # representative, which every member was compared with, rule out most.
-    of = held.where("node <> rep").join(met.select(F.col("u").alias("rep"), F.col("v").alias("node"), "d"), ["rep", "node"])
-    of = cut(of.join(comp, "node", "left").select("key", "node", "d", F.coalesce("component", "node").alias("c")))
+    # What is left: pairs of one group in two components, of which one isn't the group's largest.
+    of = cut(held.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
     largest = of.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    of = cut(of.join(largest.select("key", F.col("most.c").alias("big")), "key"))
-    a = of.where("c <> big").select("key", F.col("node").alias("u"), F.col("d").alias("du"), F.col("c").alias("cu"))
-    b = of.select("key", F.col("node").alias("v"), F.col("d").alias("dv"), F.col("c").alias("cv"))
-    near = (100 - percent) / 100 + 1e-9
-    rest = a.join(b, "key").where((F.col("cu") != F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= near)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = confirmed(cut(rest), texts, width).where(F.col("both") * 100 >= F.col("either") * percent).select("u", "v")
-    return links.union(cut(more))
+    of = of.join(largest.select("key", F.col("most.c").alias("big")), "key")
+    of = cut(of.join(info, "node"))
+    a = of.where("c <> big").select("key", F.col("node").alias("u"), F.col("c").alias("cu"), *_about("a"))
+    b = of.select("key", F.col("node").alias("v"), F.col("c").alias("cv"), *_about("b"))
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("cu") != F.col("cv")) & _likely(percent))
+    return links.union(confirm(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
 
 
 def repeats(rows: DataFrame) -> bool:
@@ -154,14 +182,16 @@ def clusters(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> D
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     rows = cut(docs.select("doc_id", sketched(F.col("text"), width).alias("k")).select("doc_id", "k.*"))
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "a", "b")).alias("r")).select("set_hi", "set_lo", F.col("r.doc_id").alias("node"), "r.a", "r.b"))
+    classes = cut(full.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "a", "b", "sk", "n_shingles")).alias("r")).select("set_hi", "set_lo", F.col("r.doc_id").alias("node"), "r.a", "r.b", "r.sk", F.col("r.n_shingles").alias("n")))
     keyed = classes.select("node", F.posexplode("a").alias("i", "x"), "b").select("node", "i", "x", F.posexplode("b").alias("j", "y"))
     members = keyed.select(F.xxhash64("i", "x", "j", "y").alias("key"), "node")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    info = classes.select("node", "n", "sk")
     again = repeats(full)
     if again:
+        info = info.dropDuplicates(["node"])
         members, texts = members.distinct(), texts.groupBy("node").agg(F.min("text").alias("text"))
-    links = linked(texts, members, width, percent)
+    links = linked(texts, members, info, width, percent)
     if again:
         same = full.join(classes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
         links = links.union(same.distinct())
