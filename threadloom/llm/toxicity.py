@@ -174,7 +174,9 @@ def scored(text: Column, model: Model, spark: SparkSession) -> Column:
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        cache = WordCache(m.logit)
+        if not hasattr(m, "cache"):  # a worker keeps it for its next tasks
+            m.cache = WordCache(m.logit)
+        cache = m.cache
         for a in arrays:
             out = []
             for t in a:
