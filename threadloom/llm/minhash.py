@@ -7,8 +7,9 @@ some table with the square of that: 0.997 at 0.8, 0.9999 at 0.85.
 
 Documents with equal sets are one class from the start (by a 128-bit digest), and only classes enter the tables.
 Within a table's group no pairs are listed: each class is compared with one of the group, drawn by a hash. Before full sets
-are fetched, sizes must allow a link and the low bytes of the minhashes must agree in number (at five standard
-deviations below what a link has, one link in some million is lost). What was confirmed is joined to components; of
+are fetched, a pair must pass on its sizes and parity maps: a map holds, in each of PARITY bits, whether the set has an odd number of
+shingles there, so two maps differ in no more bits than the sets differ in shingles, and a link's sets differ in few. For sets
+up to some thousand shingles this loses no link; for longer ones the bound is that of six standard deviations. What was confirmed is joined to components; of
 each group that then still lies in several components, the classes outside its largest one are compared with those in other
 components by the same two steps. So no likely pair that met in a table and lies in two components stays unseen.
 
@@ -31,6 +32,8 @@ from threadloom.llm.graph import components
 
 SHINGLE, PERCENT = 2, 80
 TABLES, ROWS, SEED = 9, 3, 1234
+PARITY = 1024
+LONGS = PARITY // 64
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33, _S29 = np.uint64(33), np.uint64(29)
@@ -69,7 +72,7 @@ SKETCH = "n_shingles bigint, set_hi bigint, set_lo bigint, a array<bigint>, b ar
 
 
 def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int = ROWS) -> Column:
-    """A struct (SKETCH): the size of a text's set, its digest, and the half keys of both collections, and the low byte of each minhash."""
+    """A struct (SKETCH): the size of a text's set, its digest, and the half keys of both collections, and the parity map of its set."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, seeds = _word_hashes(), _seeds(2 * tables * rows)
@@ -89,7 +92,8 @@ def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int
                         x ^= x >> _S33
                         x *= _M2
                         np.minimum(least, x.min(1), out=least)
-                low.append(np.pad(least.astype(np.uint8), (0, -len(least) % 8)).view(np.int64))
+                odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                low.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 half = least.reshape(2 * tables, rows)
                 key = np.zeros(2 * tables, np.uint64)
                 for r in range(rows):
@@ -98,8 +102,7 @@ def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int
             k = np.array(keys, np.int64).reshape(-1, 2, tables)
             offsets = pa.array(np.arange(0, len(k) * tables + 1, tables), pa.int32())
             sides = [pa.ListArray.from_arrays(offsets, pa.array(k[:, i].ravel())) for i in (0, 1)]
-            bytes8 = -(-2 * tables * rows // 8)
-            sides.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(k) * bytes8 + 1, bytes8), pa.int32()), pa.array(np.array(low, np.int64).ravel())))
+            sides.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(k) * LONGS + 1, LONGS), pa.int32()), pa.array(np.array(low, np.int64).ravel())))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *sides], ["n_shingles", "set_hi", "set_lo", "a", "b", "sk"])
 
     return F.arrow_udf(run, SKETCH)(text)
@@ -128,27 +131,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _likely(percent: int) -> Column:
-    """Whether sizes (na, nb) allow a link, and the minhash bytes (s0a and on, s0b and on) agree often enough: five deviations below the mean at ``percent``."""
-    count, p = 2 * TABLES * ROWS, percent / 100
+    """Whether sizes (na, nb) and parity maps (s0a and on, s0b and on) allow a link.
+
+    Linked sets differ in ``apart`` shingles at most, and their maps in no more bits. Where that is beyond what a map can
+    show, six standard deviations above what so many shingles change.
+    """
     differ = F.lit(0)
-    for i in range(-(-count // 8)):
-        x = F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    most = int(count * (1 - p) + 5 * (count * p * (1 - p)) ** 0.5) + 1
-    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ <= most)
+    for i in range(LONGS):
+        differ = differ + F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b")))
+    apart = (F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)
+    seen = PARITY / 2 * (1 - F.exp(-2 * apart / PARITY)) + 3 * PARITY**0.5
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ <= F.least(apart, seen) + 1e-6)
 
 
 def _about(side: str) -> list[Column]:
-    """A node's size and minhash bytes as plain columns, which a join's condition reads fastest."""
-    return [F.col("n").alias(f"n{side}"), *(F.get("sk", i).alias(f"s{i}{side}") for i in range(-(-2 * TABLES * ROWS // 8)))]
+    """A node's size and parity map as plain columns, which a join's condition reads fastest."""
+    return [F.col("n").alias(f"n{side}"), *(F.get("sk", i).alias(f"s{i}{side}") for i in range(LONGS))]
 
 
 def linked(texts: DataFrame, members: DataFrame, info: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) that join all nodes of a component.
 
-    members: (key, node), the classes in each table's groups; info: (node, n, sk), sizes and minhash bytes.
+    members: (key, node), the classes in each table's groups; info: (node, n, sk), sizes and parity maps.
     """
     # Another order in each group, so that the many groups of one cluster compare it with many of its members.
     groups = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", F.col("r.node").alias("rep"))
