@@ -152,11 +152,12 @@ def _about(side: str) -> list[Column]:
 def linked(texts: DataFrame, members: DataFrame, info: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) that join all nodes of a component.
 
-    members: (key, node), the classes in each table's groups; info: (node, n, sk), sizes and parity maps.
+    members: (key, i, node), the classes in each table's groups, i being the half key of the first collection; info: (node, n, sk), sizes and parity maps.
     """
-    # Another order in each group, so that the many groups of one cluster compare it with many of its members.
-    groups = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", F.col("r.node").alias("rep"))
-    held = cut(members.join(groups.select("key", "rep"), "key").where("node <> rep"))
+    # An order for each half key of the first collection: a cluster's groups compare it with some of its members, not with
+    # another one in each of its TABLES**2 tables.
+    groups = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "i").alias("h"), "node")).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", F.col("r.node").alias("rep"))
+    held = cut(members.select("key", "node").join(groups.select("key", "rep"), "key").where("node <> rep"))
     about = lambda c, x: info.select(F.col("node").alias(c), *_about(x))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def clusters(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> D
     full = rows.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "a", "b", "sk", "n_shingles")).alias("r")).select("set_hi", "set_lo", F.col("r.doc_id").alias("node"), "r.a", "r.b", "r.sk", F.col("r.n_shingles").alias("n")))
     keyed = classes.select("node", F.posexplode("a").alias("i", "x"), "b").select("node", "i", "x", F.posexplode("b").alias("j", "y"))
-    members = keyed.select(F.xxhash64("i", "x", "j", "y").alias("key"), "node")
+    members = keyed.select(F.xxhash64("i", "x", "j", "y").alias("key"), "i", "node")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
     info = classes.select("node", "n", "sk")
     again = repeats(full)
