@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordCache
+from threadloom.llm.common import WordCache, give_back
 
 TOKENIZER = "word_bpe_49k.json"
 SUFFIX = "</w>"
@@ -212,8 +212,11 @@ def encoded(text: Column, path: str | None = None) -> Column:
         e = encoder(path or tokenizer_path())
         for a in arrays:
             ids = [e.encode(t.as_py()) for t in a]
-            flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), flat)
+            ends, flat = np.cumsum([0, *(len(x) // 4 for x in ids)]), b"".join(ids)
+            del ids
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
+            del flat
+        give_back()
 
     return F.arrow_udf(run, "array<int>")(text)
 

@@ -1,7 +1,9 @@
 """What the operators share: the shared folder, lineage cuts, word caches."""
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,17 +38,30 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system at a task's end; Spark keeps the worker, and others may then need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class WordCache(dict):
-    """word -> make(word). Starts anew when it holds ``limit`` words, so memory is bounded and the head stays cheap."""
+    """word -> make(word). Two generations: once ``limit`` words are held they become the older one, from which words in use come
+    back; so memory is bounded by twice the limit and frequent words stay."""
 
-    def __init__(self, make, limit: int = 500_000, longest: int = 64):
+    def __init__(self, make, limit: int = 150_000, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.longest = make, limit, longest
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
 
     def __missing__(self, word):
-        value = self.make(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= self.longest:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[word] = value
         return value

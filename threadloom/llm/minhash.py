@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordCache, cut, small_side
+from threadloom.llm.common import WordCache, cut, give_back, small_side
 from threadloom.llm.graph import components
 
 SHINGLE, PERCENT = 2, 80
@@ -104,6 +104,7 @@ def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int
             sides = [pa.ListArray.from_arrays(offsets, pa.array(k[:, i].ravel())) for i in (0, 1)]
             sides.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(k) * LONGS + 1, LONGS), pa.int32()), pa.array(np.array(low, np.int64).ravel())))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *sides], ["n_shingles", "set_hi", "set_lo", "a", "b", "sk"])
+        give_back()
 
     return F.arrow_udf(run, SKETCH)(text)
 
@@ -116,6 +117,8 @@ def shingle_set(text: Column, width: int = SHINGLE) -> Column:
         for part in arrays:
             sets = [shingles(t.as_py(), width, hashes).view(np.int64) for t in part]
             yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            del sets
+        give_back()
 
     return F.arrow_udf(run, "array<bigint>")(text)
 
