@@ -191,6 +191,13 @@ class Encoder:
         return b"".join(np.array([self.specials[p]], "<u4").tobytes() if p in self.specials else self._plain(p) for p in self.cut.split(text))
 
 
+    def forget(self) -> None:
+        """At a task's end: the automaton stays with the worker, what it encoded doesn't."""
+        for cache in (self.chunks, self.words, self.far):
+            cache.forget()
+        give_back()
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -216,7 +223,7 @@ def encoded(text: Column, path: str | None = None) -> Column:
             del ids
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
             del flat
-        give_back()
+        e.forget()
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -245,6 +252,7 @@ def round_trip(text: Column, path: str | None = None) -> Column:
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(e.automaton.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     return F.arrow_udf(run, SCHEMA)(text)
 
