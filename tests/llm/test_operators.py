@@ -53,6 +53,32 @@ def test_decode_is_the_best_tagging():
         assert value(crf.decode(c, b, t, [13, 13], 13, 1)) == pytest.approx(max(map(value, product(range(3), repeat=n))))
 
 
+def test_crf_finds_secrets_without_digits():
+    crf = secrets.train()
+    found = lambda t: [t[s:e] for s, e, k in secrets.scan(t, crf) if k == 3]
+    assert found("Authorization: Bearer ghp_abcdefGHIJKLmnopqrstuvWXYZabcd") == ["ghp_abcdefGHIJKLmnopqrstuvWXYZabcd"]
+    assert found("passphrase = correcthorsebatterystaple") == ["correcthorsebatterystaple"]
+    assert secrets.redact("aws wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", crf) == "aws [SECRET]"
+    assert found("The secret of the key is known, see https://example.org/foo/bar?x=y or src/foo/bar.py") == []
+
+
+def test_left_out_chunks_are_o_in_the_best_tagging():
+    crf, rng = secrets.train(), random.Random(5)
+    for k in range(300):
+        text = "\n".join(secrets._line(rng)[0] for _ in range(rng.randint(1, 4))) + rng.choice(("", "\u3000é 日本語\x1cx", " " + "".join(rng.choice("aB3+/=: \"") for _ in range(60))))
+        base = secrets.base_spans(text)
+        toks = list(secrets._TOKEN.finditer(text))
+        touch = [i > 0 and toks[i - 1].end() == m.start() for i, m in enumerate(toks)]
+        tags = crf.decode([secrets.token_class(m[0]) for m in toks], [True] * len(toks), touch, [13, 13], 13, secrets.file_class(text, base))
+        whole = []
+        for m, tag in zip(toks, tags):
+            if tag == 1:
+                whole.append([m.start(), m.end()])
+            elif tag == 2:
+                whole[-1][1] = m.end()
+        assert secrets.crf_spans(text, base, crf) == [(s, e) for s, e in whole if not any(a < e and s < b for a, b, _ in base)]
+
+
 def test_secret_columns(spark):
     r = {x["doc_id"]: x for x in docs(spark, [(1, None, "a"), (2, "", "a"), (3, "token=abcdefgh", None), (3, "token=abcdefgh", None)]).select("doc_id", secrets.find_secrets(F.col("text"), secrets.train()).alias("r")).select("doc_id", "r.*").collect()}
     assert r[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and r[1]["spans"] == "" and r[2]["n_hex"] == 0

@@ -4,11 +4,12 @@ The CRF tags tokens as O (outside), B (a secret begins) or I (inside). A token's
 shape class, of the classes of the two tokens before and the one after it, and of the file's class; tags also
 have transition weights. The best tags are found by Viterbi.
 
-Two structural constraints hold in training and decoding: B stands only on a token that holds a digit and has
-six characters or more, and I only on a token that touches the one before it. So a chunk (a run without white
-space) that has no such token is O in every tagging, and the best tagging of a whole text falls apart there,
-exactly. Decoding therefore visits runs of chunks that hold digits, with their neighbours as context; for all
-other tokens the result is known.
+One structural constraint holds in training and decoding: I stands only on a token that touches the one before
+it. B may stand on any token. So the tags of a chunk (a run without white space) meet those of its neighbours
+only through the transitions at its two ends. Where O on the whole chunk beats every other tagging by the trained
+weights, whatever tags stand before and after it, O is part of the best tagging of the whole text; this is worked
+out once for each shape of a chunk and its context (``Crf.outside``). Runs of the other chunks are decoded, with
+O before and after and their neighbours as context: together that is exactly the best tagging of the whole text.
 
 There are no labels for secrets in the tables, so the CRF is trained on lines from a seeded generator
 (``TRAIN_LINES``), by maximum likelihood in numpy.
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import WordCache
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
@@ -38,12 +41,14 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 TRAIN_LINES = 1000
 
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W\d_]+|[^\s]")
-_DIGIT = re.compile(r"[0-9]\S*")
+_CHUNK = re.compile(r"\S+")
 _KEY = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|private|signature|akia", re.A)
 # Token classes.
-PLAIN, KEY, ASSIGNMENT, QUOTE, JOINER, PUNCT, SHORT_NUM, NUM, CODE, HEXLIKE, UPPER, MIXED, LONG, EDGE = range(14)
-N_CLASSES, N_FILES, O, B, I = 14, 4, 0, 1, 2
+PLAIN, KEY, ASSIGNMENT, QUOTE, JOINER, PUNCT, SHORT_NUM, NUM, CODE, HEXLIKE, UPPER, MIXED, LONG, EDGE, CASED, RUN = range(16)
+N_CLASSES, N_FILES, O, B, I = 16, 4, 0, 1, 2
 _NEVER = -1e9
+#: O must be better by more than rounding for a chunk to be left out of decoding.
+_CLEARLY = 1e-6
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,7 +63,10 @@ def token_class(t: str) -> int:
     if not t[0].isalnum():
         return ASSIGNMENT if t in "=:" else QUOTE if t in "\"'`" else JOINER if t in "+/.-_" else PUNCT
     if not any(c in "0123456789" for c in t):
-        return KEY if len(t) <= 20 and _KEY.search(t.lower()) else PLAIN
+        key = len(t) <= 20 and _KEY.search(t.lower())
+        if t.isascii() and len(t) >= 8 and sum(x.isupper() != y.isupper() for x, y in zip(t, t[1:])) >= (5 if key else 4):
+            return CASED
+        return KEY if key else RUN if t.isascii() and len(t) >= 20 else PLAIN
     if t.isdigit():
         return SHORT_NUM if len(t) <= 4 else NUM
     if len(t) < 8:
@@ -70,8 +78,9 @@ def token_class(t: str) -> int:
     return UPPER if t.upper() == t else MIXED
 
 
-def may_begin(t: str) -> bool:
-    return len(t) >= 6 and t.isascii() and t.isalnum() and any(c in "0123456789" for c in t)
+def shape(chunk: str) -> tuple[int, ...]:
+    """The classes of a chunk's tokens. Within a chunk every token touches the one before it."""
+    return tuple(token_class(t) for t in _TOKEN.findall(chunk))
 
 
 def file_class(text: str, base: list) -> int:
@@ -116,10 +125,45 @@ class Crf:
             s = came[s]
         return tags[::-1]
 
+    def outside(self, key: tuple) -> bool:
+        """Whether O beats every other tagging of a chunk, whatever tags stand before and after it.
+
+        key: the classes of the two tokens before it, of its own tokens, and of the next; the class of the file.
+        """
+        before2, before, classes, right, file = key
+        own, b1, b2, af, fi = (self.rows[n] for n in self.names)
+        move = self.moves
+        ctx = [before2, before, *classes, right]
+        gains = [[own[s][ctx[i + 2]] + b1[s][ctx[i + 1]] + b2[s][ctx[i]] + af[s][ctx[i + 3]] + fi[s][file] for s in (O, B, I)] for i in range(len(classes))]
+        for entry in (O, B, I):
+            # The best taggings up to a token by its tag, if some token isn't O; and the one of O alone.
+            some, plain = [_NEVER, _NEVER, _NEVER], None
+            for i, e in enumerate(gains):
+                new = [max(r + move[k][s] for k, r in enumerate(some)) + e[s] for s in (O, B, I)]
+                # Within a chunk I only follows B or I; at its first token nothing touches.
+                if plain is None:
+                    new, plain = [_NEVER, move[entry][B] + e[B], _NEVER], move[entry][O] + e[O]
+                else:
+                    new[B] = max(new[B], plain + move[O][B] + e[B])
+                    plain += move[O][O] + e[O]
+                some = new
+            if any(max(r + move[k][after] for k, r in enumerate(some)) > plain + move[O][after] - _CLEARLY for after in (O, B)):
+                return False
+        return True
+
     def freeze(self) -> "Crf":
         self.rows, self.moves = {n: w.tolist() for n, w in self.w.items()}, self.move.tolist()
         return self
 
+    def caches(self) -> tuple[WordCache, WordCache]:
+        """Shapes by chunk, and ``outside`` by shape and context, kept for a task; they don't travel with the weights."""
+        if not hasattr(self, "kept"):
+            self.kept = WordCache(shape, 50_000), WordCache(self.outside, 50_000)
+        return self.kept
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
 
 def _line(rng: random.Random) -> tuple[str, tuple[int, int] | None, bool]:
     """A line, the span of its secret if it has one, and whether its file looks like settings."""
@@ -127,17 +171,24 @@ def _line(rng: random.Random) -> tuple[str, tuple[int, int] | None, bool]:
     some = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
     word = lambda: "".join(rng.choice(("an", "er", "ti", "on", "the", "re", "ou", "ge", "la", "es")) for _ in range(rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    phrase = []
+
+    def passphrase() -> str:
+        """Letters only, told from prose by what stands before them."""
+        phrase.append(True)
+        return rng.choice(("", "", "", "-", "_", ".")).join(word() + word() for _ in range(rng.randint(2, 5)))
+
     kind = rng.random()
     head, tail = words(0, 4), words(0, 4)
+    letters = alnum[:52]
     if kind < 0.45:
         secret = rng.choice((
             lambda: some("0123456789abcdef", 16, 64), lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 12, 16),
             lambda: some(alnum, 12, 40), lambda: rng.choice(("ghp", "sk", "pat", "xox")) + rng.choice("_-") + some(alnum, 16, 36),
-            lambda: some(alnum, 10, 24) + rng.choice("+/-_.") + some(alnum, 8, 24)))()
-        if not any(c.isdigit() for c in secret[:6]):
-            secret = rng.choice("0123456789") + secret[1:]
-        if rng.random() < 0.75:
-            key = rng.choice(("password", "secret", "token", "api_key", "auth", "access key", "client_secret", "private key", "Authorization", "pwd", "credentials"))
+            lambda: some(alnum, 10, 24) + rng.choice("+/-_.") + some(alnum, 8, 24), lambda: some(letters, 12, 40), lambda: rng.choice(("ghp", "sk", "pat", "xox")) + rng.choice("_-") + some(letters, 16, 36),
+            lambda: some(alnum + "+/", 20, 60) + rng.choice(("", "=", "==")), lambda: passphrase(), lambda: passphrase()))()
+        if phrase or rng.random() < 0.75:
+            key = rng.choice(("passphrase", "pwd", "auth", "credentials", "passwort", "access key")) if phrase else rng.choice(("password", "secret", "token", "api_key", "auth", "access key", "client_secret", "private key", "Authorization", "pwd", "credentials"))
             lead = key + rng.choice((" = ", "=", ": ", ":", " := ", ": Bearer ")) + rng.choice(('"', "'", ""))
         else:
             lead = ""
@@ -151,6 +202,8 @@ def _line(rng: random.Random) -> tuple[str, tuple[int, int] | None, bool]:
         lambda: f"{word()}{rng.randint(1, 9999)}@{word()}.com", lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 255)}",
         lambda: f"version {rng.randint(1, 9)}.{rng.randint(0, 30)}", lambda: f"https://{word()}.org/{word()}/{rng.randint(10, 9999999)}", lambda: f"${rng.randint(1, 99)},{rng.randint(100, 999)}",
         lambda: str(rng.randint(10**6, 10**16)), lambda: f"{word()}{rng.randint(10, 99999)}", lambda: words(2, 5), lambda: f"{word()}: {word()}", lambda: f"{rng.choice(('token', 'key', 'secret'))} {word()}",
+        lambda: f"{word()}, {word().capitalize()} {word()}. {word().capitalize()} ({word()}) {word()}-{word()}!", lambda: rng.choice("/-_.").join(word() for _ in range(rng.randint(2, 6))), lambda: f"{word()}{word().capitalize()}{word().capitalize()}", lambda: f"{rng.choice(('www.', 'http://', 'https://'))}{word()}.{rng.choice(('com', 'org'))}/" + "/".join(word() for _ in range(rng.randint(0, 3))) + rng.choice(("", f"?{word()}={word()}")), lambda: f"{word()}: http://{word()}.com/{word()}",
+        lambda: f"the {rng.choice(('password', 'key', 'secret', 'token'))} {rng.choice(('is', 'of', 'to', 'for'))} {word()}{rng.choice(' -')}{word()}", lambda: f"{word().upper()} {word()}{word()}{word()}{word()}: {words(1, 3)}", lambda: f"{rng.choice(('Author', 'key', 'License'))}: {word().capitalize()} {word()}",
         lambda: f"{rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}"))()
     return f"{head} {other} {tail}".strip(), None, rng.random() < 0.2
 
@@ -161,19 +214,14 @@ def _encoded(lines: list) -> dict[str, np.ndarray]:
     for text, span, config in lines:
         toks = list(_TOKEN.finditer(text))
         tags = [O if not span or m.start() < span[0] or m.end() > span[1] else B if m.start() == span[0] else I for m in toks]
-        if any(t == B and not may_begin(m[0]) for t, m in zip(tags, toks)):
-            # The first token has no digit: its begin moves to the first token that may begin.
-            first = next((k for k, (t, m) in enumerate(zip(tags, toks)) if t != O and may_begin(m[0])), len(toks))
-            tags = [O if k < first else B if k == first else t for k, t in enumerate(tags)]
         rows.append((toks, tags, 2 * bool(base_spans(text)) + config))
     n, t = len(rows), max(len(r[0]) for r in rows)
-    out = {k: np.full((n, t), v) for k, v in (("own", EDGE), ("before", EDGE), ("before2", EDGE), ("after", EDGE), ("file", 0), ("tag", O), ("begin", False), ("touch", False), ("real", False))}
+    out = {k: np.full((n, t), v) for k, v in (("own", EDGE), ("before", EDGE), ("before2", EDGE), ("after", EDGE), ("file", 0), ("tag", O), ("touch", False), ("real", False))}
     for i, (toks, tags, file) in enumerate(rows):
         c = [EDGE, EDGE, *(token_class(m[0]) for m in toks), EDGE]
         k = len(toks)
         out["own"][i, :k], out["before"][i, :k], out["before2"][i, :k], out["after"][i, :k] = c[2:-1], c[1:-2], c[:-3], c[3:]
         out["file"][i, :k], out["tag"][i, :k], out["real"][i, :k] = file, tags, True
-        out["begin"][i, :k] = [may_begin(m[0]) for m in toks]
         out["touch"][i, :k] = [j > 0 and toks[j - 1].end() == m.start() for j, m in enumerate(toks)]
     return out
 
@@ -185,7 +233,7 @@ def train(lines: int = TRAIN_LINES, seed: int = 7, steps: int = 80, rate: float
     x = _encoded([_line(rng) for _ in range(lines)])
     n, t = x["own"].shape
     crf = Crf()
-    allowed = np.stack([np.ones((n, t), bool), x["begin"], x["touch"]], 2)
+    allowed = np.stack([np.ones((n, t), bool), np.ones((n, t), bool), x["touch"]], 2)
     gold = np.eye(3)[x["tag"]] * x["real"][..., None]
     pairs = np.einsum("nts,ntr->sr", gold[:, :-1], gold[:, 1:])
     params = [*(crf.w[k] for k in crf.names), crf.move]
@@ -223,36 +271,33 @@ def train(lines: int = TRAIN_LINES, seed: int = 7, steps: int = 80, rate: float
 
 def crf_spans(text: str, base: list[tuple[int, int, int]], crf: Crf) -> list[tuple[int, int]]:
     """Spans of B I* tokens over the whole text, without those that overlap a base span."""
-    chunks = []
-    done = 0
-    for m in _DIGIT.finditer(text):
-        a = m.start()
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        chunks.append((a, m.end()))
-        done = m.end()
-    if not chunks:
+    shapes, outside = crf.caches()
+    of = list(map(shapes.__getitem__, text.split()))  # the same chunks as those of _CHUNK
+    if not of:
+        return []
+    file, found = file_class(text, base), []
+    before2, before, open_chunks = EDGE, EDGE, []
+    lefts = {}
+    for i, (c, nx) in enumerate(zip(of, [*(x[0] for x in of[1:]), EDGE])):
+        key = (before2, before, c, nx, file)
+        if not (outside[key] if len(c) <= 32 else crf.outside(key)):
+            open_chunks.append(i)
+            lefts[i] = [before2, before]
+        before2, before = (before, c[0]) if len(c) == 1 else c[-2:]
+    if not open_chunks:
         return []
-    file, found, j = file_class(text, base), [], 0
-    while j < len(chunks):
+    at = [m.span() for m in _CHUNK.finditer(text)]
+    j = 0
+    while j < len(open_chunks):
         k = j
-        while k + 1 < len(chunks) and text[chunks[k][1] : chunks[k + 1][0]].isspace():
+        while k + 1 < len(open_chunks) and open_chunks[k + 1] == open_chunks[k] + 1:
             k += 1
-        lo, hi = chunks[j][0], chunks[k][1]
+        first, last = open_chunks[j], open_chunks[k]
         j = k + 1
-        toks = list(_TOKEN.finditer(text, lo, hi))
-        begin = [may_begin(m[0]) for m in toks]
-        if not any(begin):
-            continue
-        a = lo  # enough text before for two tokens
-        before: list = []
-        while a > 0 and len(before) < 3:
-            a = max(0, a - 64)
-            before = list(_TOKEN.finditer(text, a, lo))
-        left = [EDGE, EDGE, *(token_class(m[0]) for m in before[-2:])][-2:]
-        after = _TOKEN.search(text, hi)
+        toks = list(_TOKEN.finditer(text, at[first][0], at[last][1]))
+        classes = [c for x in of[first : last + 1] for c in x]
         touch = [i > 0 and toks[i - 1].end() == m.start() for i, m in enumerate(toks)]
-        tags = crf.decode([token_class(m[0]) for m in toks], begin, touch, left, token_class(after[0]) if after else EDGE, file)
+        tags = crf.decode(classes, [True] * len(toks), touch, lefts[first], of[last + 1][0] if last + 1 < len(of) else EDGE, file)
         i = 0
         while i < len(tags):
             if tags[i] == B:
