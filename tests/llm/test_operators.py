@@ -250,6 +250,21 @@ def test_licenses_equal_brute_force(spark):
 # Toxicity
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(4)
+    prose = lambda n: [rng.choice(("haus", "baum", "wiese", "regen", "lampe", "tisch", "garten", "wolke")) for _ in range(n)]
+    rows = []
+    for i in range(400):
+        w = prose(1000)
+        if i % 2:
+            w[300:304] = ["zorkbrat"] * 4  # between the start, the middle and the end
+        rows.append((i, " ".join(w), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    score = lambda w: m.score(np.array([m.logit(x) for x in w]))
+    assert score([*prose(500), "zorkbrat", "zorkbrat", *prose(19_000)]) >= toxicity.THRESHOLD > score(prose(20_000))
+
+
 def test_toxicity_held_out_and_misspelt():
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(("an", "er", "ti", "on", "the", "re", "ou")) for _ in range(rng.randint(1, 4)))

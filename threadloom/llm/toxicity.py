@@ -8,8 +8,8 @@ the whole text, then with the highest window. A misspelt word shares most n-gram
 and so nearly its vector.
 
 The model is fitted on at most SAMPLE_ROWS labelled documents, those with the lowest hash of doc_id among the
-documents whose crc32(doc_id as text) mod 4 is not HELD_OUT; of each, at most TRAIN_WORDS words at the start,
-as many in the middle and at the end count in training. Scoring reads whole texts.
+documents whose crc32(doc_id as text) mod 4 is not HELD_OUT. Training and scoring read whole texts; the sample comes
+to the driver partition by partition and is held as word numbers.
 
 Defined cases: a null or empty text, or one without words, gets the score of the softmax's bias alone; a null
 doc_id is not held out and never trains; of several labels for one document the highest counts; null labels are
@@ -18,7 +18,7 @@ not used; without labels of both kinds every score is 0.
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import WordCache
 
 SAMPLE_ROWS = 6_000
-TRAIN_WORDS = 200
 HELD_OUT, PARTS = 2, 4
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5)
 WINDOW, LARGEST_BATCH, STEPS = 8, 256, 24
@@ -82,16 +81,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(windows(logits).max() + self.offset, -60, 60))))
 
 
-def train(texts: list[list[str]], toxic: np.ndarray) -> Model:
+def numbered(texts: Iterable[list[str]]) -> tuple[list[np.ndarray], list[str]]:
+    """Each text as numbers of its words, and the words by number."""
+    index: dict[str, int] = {}
+    return [np.fromiter((index.setdefault(w, len(index)) for w in t), np.int32, len(t)) for t in texts], list(index)
+
+
+def train(texts: Iterable[list[str]], toxic: np.ndarray) -> Model:
+    return train_numbered(*numbered(texts), toxic)
+
+
+def train_numbered(docs: list[np.ndarray], vocabulary: list[str], toxic: np.ndarray) -> Model:
     model = Model()
     if len(set(toxic.tolist())) < 2:
         return model.freeze()
-    index: dict[str, int] = {}
-    docs = [np.fromiter((index.setdefault(w, len(index)) for w in t), np.int64, len(t)) for t in texts]
-    bags = [np.array(grams(w), np.int64) for w in index]
+    bags = [np.array(grams(w), np.int64) for w in vocabulary]
     sizes = np.array([len(b) for b in bags])
     starts, flat = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(bags) if bags else np.zeros(0, np.int64)
-    del bags, index
+    del bags
     rng = np.random.default_rng(SEED)
     g_vec, g_out, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full_like(model.out, 1e-6), np.full(2, 1e-6, np.float32)
     use = np.array([len(d) > 0 for d in docs])
@@ -102,29 +109,33 @@ def train(texts: list[list[str]], toxic: np.ndarray) -> Model:
             per_bucket = model.vectors @ (model.out[1] - model.out[0])
             word_logit = np.add.reduceat(per_bucket[flat], starts[:-1]) / sizes
         for at in range(0, len(order), batch_size):
-            batch, parts = order[at : at + batch_size], []
+            batch, parts, times, lengths = order[at : at + batch_size], [], [], []
             for i in batch:
                 d = docs[i]
                 if epoch >= AVERAGE_EPOCHS and len(d) > WINDOW:
                     k = int(windows(word_logit[d]).argmax())
                     d = d[k : k + WINDOW]
-                parts.append(d)
-            lengths = np.array([len(p) for p in parts])
-            tokens = np.concatenate(parts)
-            doc_of = np.repeat(np.arange(len(parts)), lengths)
+                # A word counts as often as it stands there; so a batch needs room for distinct words only.
+                w, c = np.unique(d, return_counts=True)
+                parts.append(w)
+                times.append(c)
+                lengths.append(len(d))
+            held = np.array([len(p) for p in parts])
+            lengths, tokens, times = np.array(lengths), np.concatenate(parts), np.concatenate(times)
+            doc_of = np.repeat(np.arange(len(parts)), held)
             words, of = np.unique(tokens, return_inverse=True)
             n = sizes[words]
             first = np.concatenate([[0], np.cumsum(n)])[:-1]
             buckets = flat[np.repeat(starts[words] - first, n) + np.arange(n.sum())]
             word_vec = np.add.reduceat(model.vectors[buckets], first) / n[:, None]
-            x = np.add.reduceat(word_vec[of], np.concatenate([[0], np.cumsum(lengths)])[:-1]) / lengths[:, None]
+            x = np.add.reduceat(word_vec[of] * times[:, None], np.concatenate([[0], np.cumsum(held)])[:-1]) / lengths[:, None]
             z = x @ model.out.T + model.bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(batch)), toxic[batch]] -= 1
             p /= len(batch)
             d_out, d_bias, d_x = p.T @ x, p.sum(0), (p @ model.out) / lengths[:, None]
-            d_word = np.stack([np.bincount(of, d_x[doc_of, j], len(words)) for j in range(DIM)], 1) / n[:, None]
+            d_word = np.stack([np.bincount(of, d_x[doc_of, j] * times, len(words)) for j in range(DIM)], 1) / n[:, None]
             spread = np.repeat(d_word, n, 0)
             some, where = np.unique(buckets, return_inverse=True)
             d_vec = np.stack([np.bincount(where, spread[:, j], len(some)) for j in range(DIM)], 1)
@@ -139,18 +150,11 @@ def train(texts: list[list[str]], toxic: np.ndarray) -> Model:
 
 
 def _training_text(text: Column) -> Column:
-    """The words that count in training: at most 3 * TRAIN_WORDS of them."""
+    """All the words of a text, which hold no space, with spaces between."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in arrays:
-            out = []
-            for t in a:
-                w = words_of(t.as_py())
-                if len(w) > 3 * TRAIN_WORDS:
-                    m = (len(w) - TRAIN_WORDS) // 2
-                    w = w[:TRAIN_WORDS] + w[m : m + TRAIN_WORDS] + w[-TRAIN_WORDS:]
-                out.append(" ".join(w))
-            yield pa.array(out, pa.string())
+            yield pa.array([" ".join(words_of(t.as_py())) for t in a], pa.string())
 
     return F.arrow_udf(run, "string")(text)
 
@@ -160,12 +164,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from labels of documents that aren't held out. The sample is at most SAMPLE_ROWS texts of 3 * TRAIN_WORDS words."""
+    """Learns from labels of documents that aren't held out. The sample is at most SAMPLE_ROWS whole texts."""
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", _training_text(F.col("text")).alias("t"))
-    got = got.groupBy("doc_id").agg(F.min(F.struct("toxic", "t")).alias("r")).orderBy("doc_id").select("r.*").toArrow()
-    return train([t.split() for t in got["t"].to_pylist()], got["toxic"].to_numpy().astype(np.int64))
+    got = got.groupBy("doc_id").agg(F.min(F.struct("toxic", "t")).alias("r")).orderBy("doc_id").select("r.*")
+    toxic: list[int] = []
+
+    def texts() -> Iterator[list[str]]:
+        for r in got.toLocalIterator():
+            toxic.append(r["toxic"])
+            yield r["t"].split()
+
+    docs_of, vocabulary = numbered(texts())
+    return train_numbered(docs_of, vocabulary, np.array(toxic, np.int64))
 
 
 def scored(text: Column, model: Model, spark: SparkSession) -> Column:
