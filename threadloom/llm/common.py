@@ -1,41 +1,45 @@
-"""What the operators share: the shared folder, lineage cuts, word caches."""
+"""What the operators share: the shared folder, lineage cuts, broadcasts of a checked size, word caches."""
 
 import ctypes
-import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a table that may be broadcast, once counted. At 16 to 40 bytes a row this is at most about 40 MB.
-BROADCAST_ROWS = 1_000_000
+from threadloom.storage import cut, remove, shared_dir
+
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "WORD_JAVA", "WordCache", "cut", "give_back", "packed", "remove", "shared_dir", "small_side"]
+
+#: Rows, and bytes of their values, of a table that may be broadcast; both are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 #: Words as ``[^\x20\x09-\x0D]+``. On UTF-8 bytes, ``bytes.split()`` gives the same words.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where unset (tests), one of this machine."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not at:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="threadloom-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 8
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder: they outlive lost executors and aren't computed again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a table for broadcast if its counted rows and bytes allow it; else Spark joins by shuffle. df should be cut already."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    width = sum((_width(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("bigint"))).first()[0] or 0) <= most else df
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table for broadcast if its counted rows allow it; else Spark joins by shuffle. df should be cut already."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def packed(docs: DataFrame) -> Column:
+    """A row's own columns as one struct, so that no name which an operator adds can meet them; ``row.*`` gives them back."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
 
 
 def give_back() -> None:
