@@ -11,12 +11,12 @@ are fetched, a pair must pass on its sizes and parity maps: a map holds, in each
 shingles there, so two maps differ in no more bits than the sets differ in shingles, and a link's sets differ in few. For sets
 up to some thousand shingles this loses no link; for longer ones the bound is that of six standard deviations. What was confirmed is joined to components; of
 each group that then still lies in several components, the classes outside its largest one are compared with those in other
-components by the same two steps. So no likely pair that met in a table and lies in two components stays unseen.
+components by the same two steps, a large group in blocks of BLOCK by BLOCK classes. So no likely pair that met in a table and lies in two components stays unseen.
 
 Defined cases: null and empty texts, and those without words, have an empty set and link with nothing; a text of
-fewer words than a shingle is one shingle; rows that repeat a doc_id are linked, as they share the id; if
-their texts differ, each row counts its own set and one of the texts is compared with other documents; rows with a null doc_id take part in nothing, are their own document with a null component,
-and are kept.
+fewer words than a shingle is one shingle; long texts are read whole; rows that repeat a doc_id are linked, as they share the id; if
+their texts differ, each row counts its own set, and each of the sets is compared with those of other documents; rows with a null doc_id take part in nothing, are their own document with a null component,
+and are kept; an empty table gives no rows. Columns of any names may stand beside doc_id and text; the stage returns them as they are.
 """
 
 from collections.abc import Iterator
@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordCache, cut, give_back, small_side
+from threadloom.llm.common import WordCache, cut, give_back, packed, small_side
 from threadloom.llm.graph import components
 
 SHINGLE, PERCENT = 2, 80
 TABLES, ROWS, SEED = 9, 3, 1234
 PARITY = 1024
+BLOCK = 1024
 LONGS = PARITY // 64
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -81,8 +82,8 @@ def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int
             for t in part:
                 s = shingles(t.as_py(), width, hashes)
                 n.append(len(s))
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                hi.append((digest >> 64) - (1 << 63)), lo.append((digest & (1 << 64) - 1) - (1 << 63))
+                digest = _digest(s)
+                hi.append(digest[0]), lo.append(digest[1])
                 least = np.zeros(len(seeds), np.uint64)
                 if len(s):
                     least = np.full(len(seeds), ~np.uint64(0))
@@ -109,24 +110,44 @@ def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int
     return F.arrow_udf(run, SKETCH)(text)
 
 
+SET = "s array<bigint>, set_hi bigint, set_lo bigint"
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted set, as two signed longs."""
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
 def shingle_set(text: Column, width: int = SHINGLE) -> Column:
-    """array<bigint>: the sorted set."""
+    """A struct (SET): the sorted set, and its digest."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = _word_hashes()
         for part in arrays:
             sets = [shingles(t.as_py(), width, hashes).view(np.int64) for t in part]
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            hi, lo = zip(*map(_digest, sets)) if sets else ((), ())
+            held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
             del sets
+            yield pa.StructArray.from_arrays([held, pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["s", "set_hi", "set_lo"])
+            del held
         give_back()
 
-    return F.arrow_udf(run, "array<bigint>")(text)
+    return F.arrow_udf(run, SET)(text)
+
 
+def _nodes(again: bool) -> Column:
+    """A class's name: the doc_id of one of its rows, together with the set's digest where doc_ids stand on several rows."""
+    return F.struct("doc_id", "set_hi", "set_lo") if again else F.col("doc_id")
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """pairs (u, v) with ``both`` and ``either``: the sizes of intersection and union of their full sets. texts: (node, text)."""
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, again: bool) -> DataFrame:
+    """pairs (u, v) with ``both`` and ``either``: the sizes of intersection and union of their full sets. docs: (doc_id, text)."""
     wanted = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
-    sets = texts.join(small_side(wanted), "node", "left_semi").select("node", shingle_set(F.col("text"), width).alias("s"))
+    ids = cut(wanted.select(F.col("node.doc_id").alias("doc_id")).distinct()) if again else wanted.withColumnRenamed("node", "doc_id")
+    sets = docs.join(small_side(ids), "doc_id", "left_semi").select("doc_id", shingle_set(F.col("text"), width).alias("r")).select("doc_id", "r.*").select(_nodes(again).alias("node"), "s")
+    if again:
+        sets = sets.join(small_side(wanted), "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets)
     got = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     both = F.size(F.array_intersect("su", "sv"))
@@ -152,7 +173,7 @@ def _about(side: str) -> list[Column]:
     return [F.col("n").alias(f"n{side}"), *(F.get("sk", i).alias(f"s{i}{side}") for i in range(LONGS))]
 
 
-def linked(texts: DataFrame, members: DataFrame, info: DataFrame, width: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, members: DataFrame, info: DataFrame, width: int, percent: int, again: bool) -> DataFrame:
     """Confirmed links (u, v) that join all nodes of a component.
 
     members: (key, i, node), the classes in each table's groups, i being the half key of the first collection; info: (node, n, sk), sizes and parity maps.
@@ -164,7 +185,7 @@ def linked(texts: DataFrame, members: DataFrame, info: DataFrame, width: int, pe
     about = lambda c, x: info.select(F.col("node").alias(c), *_about(x))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        got = confirmed(cut(pairs), texts, width)
+        got = confirmed(cut(pairs), docs, width, again)
         return cut(got.where(F.col("both") * 100 >= F.col("either") * percent).select("u", "v"))
 
     stars = held.select(F.least("rep", "node").alias("u"), F.greatest("rep", "node").alias("v")).distinct()
@@ -175,9 +196,14 @@ def linked(texts: DataFrame, members: DataFrame, info: DataFrame, width: int, pe
     largest = of.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     of = of.join(largest.select("key", F.col("most.c").alias("big")), "key")
     of = cut(of.join(info, "node"))
-    a = of.where("c <> big").select("key", F.col("node").alias("u"), F.col("c").alias("cu"), *_about("a"))
-    b = of.select("key", F.col("node").alias("v"), F.col("c").alias("cv"), *_about("b"))
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("cu") != F.col("cv")) & _likely(percent))
+    # Blocks of a group: each of one side's parts meets each of the other's, so that no task takes a large group alone.
+    parts = of.groupBy("key").agg(F.ceil(F.count_if(F.col("c") != F.col("big")) / BLOCK).cast("int").alias("pa"), F.ceil(F.count("*") / BLOCK).cast("int").alias("pb"))
+    of = of.join(parts, "key").withColumn("x", F.pmod(F.xxhash64("node"), F.col("pa")).cast("int")).withColumn("y", F.pmod(F.xxhash64("node"), F.col("pb")).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = of.where("c <> big").select("key", "x", upto("pb").alias("y"), F.col("node").alias("u"), F.col("c").alias("cu"), *_about("a"))
+    b = of.select("key", upto("pa").alias("x"), "y", F.col("node").alias("v"), F.col("c").alias("cv"), (F.col("c") == F.col("big")).alias("in_big"), *_about("b"))
+    once = F.col("in_big") | (F.col("u") < F.col("v"))  # pairs outside the largest component come both ways
+    rest = a.join(b, (a["key"] == b["key"]) & (a["x"] == b["x"]) & (a["y"] == b["y"]) & (F.col("cu") != F.col("cv")) & once & _likely(percent))
     return links.union(confirm(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
 
 
@@ -190,21 +216,21 @@ def clusters(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> D
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     rows = cut(docs.select("doc_id", sketched(F.col("text"), width).alias("k")).select("doc_id", "k.*"))
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "a", "b", "sk", "n_shingles")).alias("r")).select("set_hi", "set_lo", F.col("r.doc_id").alias("node"), "r.a", "r.b", "r.sk", F.col("r.n_shingles").alias("n")))
+    again = repeats(full)
+    classes = full.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "a", "b", "sk", "n_shingles")).alias("r")).select("set_hi", "set_lo", "r.*")
+    classes = cut(classes.select("set_hi", "set_lo", _nodes(again).alias("node"), "a", "b", "sk", F.col("n_shingles").alias("n")))
     keyed = classes.select("node", F.posexplode("a").alias("i", "x"), "b").select("node", "i", "x", F.posexplode("b").alias("j", "y"))
     members = keyed.select(F.xxhash64("i", "x", "j", "y").alias("key"), "i", "node")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
-    info = classes.select("node", "n", "sk")
-    again = repeats(full)
-    if again:
-        info = info.dropDuplicates(["node"])
-        members, texts = members.distinct(), texts.groupBy("node").agg(F.min("text").alias("text"))
-    links = linked(texts, members, info, width, percent)
+    links = linked(docs.where("doc_id is not null"), members, classes.select("node", "n", "sk"), width, percent, again)
+    names = classes.select("set_hi", "set_lo", "node")
     if again:
-        same = full.join(classes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-        links = links.union(same.distinct())
+        # The classes of one doc_id are linked.
+        held = cut(full.select("doc_id", "set_hi", "set_lo").distinct().join(names, ["set_hi", "set_lo"]).select("doc_id", "node"))
+        first = held.groupBy("doc_id").agg(F.min("node").alias("first"))
+        links = links.union(held.join(first, "doc_id").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
     comp = components(links)
-    of_class = classes.select("set_hi", "set_lo", "node").join(comp, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component_id"))
+    of_class = names.join(comp, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))
+    of_class = of_class.select("set_hi", "set_lo", (F.col("component.doc_id") if again else F.col("component")).alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_hi", "set_lo").join(cut(of_class), ["set_hi", "set_lo"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
@@ -216,12 +242,16 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least doc_id. Of rows that repeat a doc_id one stays."""
+    """Of each group of near copies, the document with the least doc_id. Of rows that repeat a doc_id one stays: of the text with the least hash."""
     gone = cut(clusters(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct())
-    left = docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
-    if repeats(docs.where("doc_id is not null").select("doc_id")):
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    left = docs.join(small_side(gone), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    real = left.where("doc_id is not null")
+    if not repeats(docs.where("doc_id is not null").select("doc_id")):
+        return left
+    hashed = real.select("doc_id", F.xxhash64("text").alias("h"), packed(real))
+    least = hashed.groupBy("doc_id").agg(F.min("h").alias("h"))
+    one = hashed.join(least, ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("row.*")
+    return one.unionByName(left.where("doc_id is null"))
 
 
 OP7_SQL = r"""
