@@ -14,8 +14,9 @@ O before and after and their neighbours as context: together that is exactly the
 There are no labels for secrets in the tables, so the CRF is trained on lines from a seeded generator
 (``TRAIN_LINES``), by maximum likelihood in numpy.
 
-Defined cases: a null text counts as empty; an empty text has no spans; repeated rows each get their own
-result; a null doc_id is kept; columns of the same names as the result's are left out by the query.
+Defined cases: a null text counts as empty; an empty text has no spans; long texts are read whole, in time that goes
+with their length; repeated rows each get their own result; a null doc_id is kept; an empty table gives no rows;
+columns of the same names as the result's are left out by the query, and returned as they are by the stage.
 """
 
 import hashlib
@@ -308,10 +309,13 @@ def crf_spans(text: str, base: list[tuple[int, int, int]], crf: Crf) -> list[tup
                 i = e
             else:
                 i += 1
-    out, k = [], 0
-    starts = sorted((s, e) for s, e, _ in base)
+    # Both lists go up in one walk. Spans of different base kinds may overlap, so ends are carried as their maximum.
+    out, k, reach = [], 0, -1
     for s, e in found:
-        if not any(a < e and s < b for a, b in starts):
+        while k < len(base) and base[k][0] < e:
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= s:
             out.append((s, e))
     return out
 
@@ -377,5 +381,6 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents with their secrets replaced and n_chars brought up to date."""
-    return docs.withColumn("text", redacted(F.col("text"), train())).withColumn("n_chars", F.length("text").cast("bigint"))
+    """documents with their secrets replaced and n_chars, if they have it, brought up to date."""
+    out = docs.withColumn("text", redacted(docs["text"], train()))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
