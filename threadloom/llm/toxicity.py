@@ -11,9 +11,10 @@ The model is fitted on at most SAMPLE_ROWS labelled documents, those with the lo
 documents whose crc32(doc_id as text) mod 4 is not HELD_OUT. Training and scoring read whole texts; the sample comes
 to the driver partition by partition and is held as word numbers.
 
-Defined cases: a null or empty text, or one without words, gets the score of the softmax's bias alone; a null
-doc_id is not held out and never trains; of several labels for one document the highest counts; null labels are
-not used; without labels of both kinds every score is 0.
+Defined cases: a null or empty text, or one without words, gets the score of the softmax's bias alone; long texts are
+read whole; a null doc_id is not held out and never trains; of several labels for one document the highest counts, of several rows of
+one doc_id the text that sorts first trains; repeated rows each get their score; null labels are
+not used; without labels of both kinds every score is 0; an empty table gives no rows; other columns don't matter.
 """
 
 import re
@@ -33,7 +34,8 @@ BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5)
 WINDOW, LARGEST_BATCH, STEPS = 8, 256, 24
 AVERAGE_EPOCHS, WINDOW_EPOCHS, RATE, SEED = 3, 4, 0.3, 5
 THRESHOLD = 0.3
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word keeps the digits and symbols within it, by which insults are disguised; longer ones than LONGEST are taken in parts.
+_WORD, LONGEST = re.compile(r"\w(?:\S*\w)?"), 64
 
 
 def grams(word: str) -> list[int]:
@@ -44,7 +46,10 @@ def grams(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    words = _WORD.findall(text.lower()) if text else []
+    if words and len(max(words, key=len)) > LONGEST:
+        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
 
 
 def windows(values: np.ndarray) -> np.ndarray:
