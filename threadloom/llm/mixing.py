@@ -8,11 +8,13 @@ size (above 2,048 words: of sizes that agree in 11 leading bits), so there are a
 however many documents. Rates become whole copies by rounding cumulated rates over the cells from the longest to the
 shortest, which leaves a source at most half its longest document away from the target; passes over shorter
 documents then take up what is left. Within a cell, the copies that don't go round go to documents in order of a
-hash, counted through salted subgroups, so no group of equal sizes meets in one task.
+hash, counted through salted subgroups, so no group of equal sizes meets in one task. Sources may be many, too: they are
+numbered by ranges, and the level of the targets is found by distributed sums.
 
-Defined cases: a null text has size 0; documents of size 0 are taken as 0 words (and 1 copy by the stage); a null
-source is a source of its own, last in order; repeated rows are separate documents; with no words at all every
-target is 0; reruns agree, as nothing depends on the order of rows.
+Defined cases: a null text has size 0; documents of size 0 are taken as 0 words (and 1 copy by the stage); long texts are
+counted whole; a null source is a source of its own, last in order; repeated rows are separate documents; with no words at all every
+target is 0; an empty table gives no rows; reruns agree, as nothing depends on the order of rows: what goes round goes by a
+hash of doc_id and text. Columns of any names may stand beside doc_id, text and source; the stage returns them as they are.
 """
 
 import math
@@ -20,13 +22,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WORD_JAVA, cut, small_side
+from threadloom.llm.common import WORD_JAVA, cut, packed, small_side
+from threadloom.storage import numbered
 
-WEIGHTS = (5.0, 2.0, 1.0)
+WEIGHTS = (5, 2, 1)
 MOST = 3
 NEWTON_STEPS, TOLERANCE = 60, 1e-7
 #: Documents a salted subgroup, about; leading bits of a size that a cell keeps; passes that take up what is left.
 SUBGROUP, CELL_BITS, FILL_PASSES = 256, 11, 4
+#: Subgroups that are counted up together; above them, their sums.
+RUN = 4096
 
 
 def size(text: Column) -> Column:
@@ -46,16 +51,21 @@ def _cell(n: Column) -> Column:
 def targets(sources: DataFrame) -> DataFrame:
     """k, source, source_size -> with target: weights by the sources' order, stopped at MOST times the size, the excess shared anew.
 
-    Such shares are min(MOST * size, weight * level) for one level; it is found in order of size over weight.
+    Such shares are min(MOST * size, weight * level) for one level. It starts at what the weights alone give; as long as
+    sources stop below it, what they leave is shared by the others. All sums are of whole numbers, so reruns agree.
     """
-    ranked = sources.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % len(WEIGHTS) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.lit(float(MOST)) * F.col("source_size")).withColumn("turn", F.col("cap") / F.col("w"))
-    order = Window.orderBy("turn", "k")
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    rest = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    ranked = ranked.withColumn("level", rest / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    ranked = ranked.withColumn("at", F.min(F.when(F.col("level") <= F.col("turn"), F.struct("turn", "k", "level"))).over(every))
-    return ranked.select("k", "source", "source_size", F.least(F.col("cap"), F.col("w") * F.coalesce(F.col("at.level"), F.lit(0.0))).alias("target"))
+    placed = numbered(sources.withColumn("last", F.isnull("source")), ["last", "source"], "place")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    rows = cut(placed.select("k", "source", "source_size", weight.cast("bigint").alias("w"), (MOST * F.col("source_size")).alias("cap")))
+    every, weights = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (every or 0) / weights if weights else 0.0
+    while level:
+        stops = F.col("cap") <= F.col("w") * level
+        capped, free = rows.agg(F.sum(F.when(stops, F.col("cap")).otherwise(0)), F.sum(F.when(stops, 0).otherwise(F.col("w")))).first()
+        if not free or (every - capped) / free <= level:
+            break
+        level = (every - capped) / free
+    return rows.select("k", "source", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.lit(float(level))).alias("target"))
 
 
 def solve(cells: DataFrame, goals: DataFrame) -> DataFrame:
@@ -115,50 +125,43 @@ def plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = rounded.select("k", "cell", "n", "copies")
     # Subgroups of a cell, by a hash that has the same distribution in every cell.
     parts = sizes.groupBy("k", "cell", "salt").agg(F.count("*").alias("docs"))
-    merged = parts.join(cut(whole), ["k", "cell"])
-    # salt is a fine hash bucket; consecutive buckets form subgroups of about SUBGROUP documents by their running count
-    run = Window.partitionBy("k", "cell").orderBy("salt")
-    merged = merged.withColumn("upto", F.sum("docs").over(run))
+    # salt is a fine hash bucket; their documents are counted up within runs of RUN salts, and over these runs.
+    parts = cut(parts.withColumn("run", F.floor(F.col("salt") / RUN)))
+    runs = parts.groupBy("k", "cell", "run").agg(F.sum("docs").alias("docs"))
+    runs = runs.select("k", "cell", "run", (F.sum("docs").over(Window.partitionBy("k", "cell").orderBy("run")) - F.col("docs")).alias("before"))
+    merged = parts.join(cut(whole), ["k", "cell"]).join(runs, ["k", "cell", "run"])
+    merged = merged.withColumn("upto", F.col("before") + F.sum("docs").over(Window.partitionBy("k", "cell", "run").orderBy("salt")))
     merged = merged.withColumn("each", F.floor(F.col("copies") / F.col("n"))).withColumn("over", F.col("copies") - F.col("each") * F.col("n"))
     part = lambda c: F.floor(c * F.col("over") / F.col("n"))
     quotas = merged.select("k", "cell", "salt", "each", (part(F.col("upto")) - part(F.col("upto") - F.col("docs"))).alias("extra"))
     return sources, cut(quotas)
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    """docs with __k, __size, __cell, __hash."""
-    out = docs.withColumn("__k", _key(F.col("source"))).withColumn("__size", size(F.col("text")))
-    return out.withColumn("__cell", _cell(F.col("__size"))).withColumn("__hash", F.xxhash64("doc_id", "__size"))
-
-
 def _salted(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """rows with __salt. counts: k, cell, n of the cells with more than SUBGROUP documents only."""
-    big = small_side(counts.select(F.col("k").alias("__k"), F.col("cell").alias("__cell"), F.ceil(F.col("n") / SUBGROUP).alias("__parts")))
-    out = rows.join(big, ["__k", "__cell"], "left")
-    return out.withColumn("__salt", F.pmod("__hash", F.coalesce("__parts", F.lit(1)).cast("bigint"))).drop("__parts")
+    """rows (k, cell, hash and others) with salt. counts: k, cell, parts of the cells with more than SUBGROUP documents only."""
+    out = rows.join(small_side(counts), ["k", "cell"], "left")
+    return out.withColumn("salt", F.pmod("hash", F.coalesce("parts", F.lit(1)).cast("bigint"))).drop("parts")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """All rows of docs (doc_id, text, source and others) with size, source_size, target and copies added under names with two underscores."""
-    ready = _prepared(docs)
-    slim = cut(ready.select("__k", "__size", "__cell", "__hash", "source"))
-    counts = cut(slim.groupBy(F.col("__k").alias("k"), F.col("__cell").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > SUBGROUP))
-    sizes = cut(_salted(slim, counts).select(F.col("__k").alias("k"), "source", F.col("__size").alias("size"), F.col("__cell").alias("cell"), F.col("__salt").alias("salt")))
-    sources, quotas = plan(sizes)
-    quotas = quotas.select(F.col("k").alias("__k"), F.col("cell").alias("__cell"), F.col("salt").alias("__salt"), F.col("each").alias("__each"), F.col("extra").alias("__extra"))
-    rows = _salted(ready, counts).join(small_side(quotas), ["__k", "__cell", "__salt"], "left")
-    rank = F.row_number().over(Window.partitionBy("__k", "__cell", "__salt").orderBy("__hash", "doc_id"))
-    rows = rows.withColumn("__copies", F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.col("__each") + (rank <= F.col("__extra")).cast("bigint")))
-    about = sources.select(F.col("k").alias("__k"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    return rows.join(small_side(about), "__k").select(*docs.columns, "__size", "__source_size", "__target", F.col("__copies").cast("bigint").alias("__copies"))
+    """row (its own columns), size, source_size, target and copies of all rows of docs (doc_id, text, source and others)."""
+    ready = docs.select(packed(docs), _key(docs["source"]).alias("k"), size(docs["text"]).alias("size"), F.xxhash64(docs["doc_id"], docs["text"]).alias("hash"))
+    ready = ready.withColumn("cell", _cell(F.col("size")))
+    slim = cut(ready.select("k", "size", "cell", "hash", F.col("row.source").alias("source")))
+    counts = cut(slim.groupBy("k", "cell").agg(F.count("*").alias("n")).where(F.col("n") > SUBGROUP).select("k", "cell", F.ceil(F.col("n") / SUBGROUP).alias("parts")))
+    sources, quotas = plan(cut(_salted(slim, counts).select("k", "source", "size", "cell", "salt")))
+    rows = _salted(ready, counts).join(small_side(quotas), ["k", "cell", "salt"], "left")
+    rank = F.row_number().over(Window.partitionBy("k", "cell", "salt").orderBy("hash", "row.doc_id"))
+    rows = rows.withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("each") + (rank <= F.col("extra")).cast("bigint")).cast("bigint"))
+    about = cut(sources.select("k", "source_size", "target"))
+    return rows.join(small_side(about), "k").select("row", "size", "source_size", "target", "copies")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = mixed(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
-    return out
+    return mixed(docs).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents, each as often as the mix takes it."""
-    return mixed(docs).withColumn("__i", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return mixed(docs).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
