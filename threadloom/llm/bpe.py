@@ -263,5 +263,6 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as it goes to training: documents with their ids and count."""
-    return docs.withColumn("ids", encoded(F.col("text"))).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    """The corpus as it goes to training: documents with their ids and count, in place of columns of these names (ids, n_tokens)."""
+    own = [f"`{c}`" for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    return docs.select(*own, encoded(docs["text"]).alias("ids")).withColumn("n_tokens", F.size("ids").cast("bigint"))
