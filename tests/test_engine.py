@@ -113,10 +113,10 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    from threadloom.streaming.incremental import grow_postings, grown
+    from threadloom.streaming.incremental import grow, grown
 
     spark.createDataFrame(TEXTS, "cid long, text string").write.parquet(str(tmp_path / "in"))
-    q = grow_postings(spark.readStream.schema("cid long, text string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = grow(spark.readStream.schema("cid long, text string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
-    _, terms = grown(spark, str(tmp_path / "out"))
-    assert {r["term"]: r["idf"] for r in terms.collect()}["market"] == pytest.approx(5 / 3)
+    got = grown(spark, str(tmp_path / "out"))
+    assert {r["term"]: r["idf"] for r in got.terms.collect()}["market"] == pytest.approx(5 / 3)

@@ -1,4 +1,4 @@
-"""Porter's stemmer, from the published algorithm, applied to distinct words."""
+"""Porter's stemmer, from the published algorithm."""
 
 from collections.abc import Iterator
 
@@ -7,26 +7,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _consonant(w: str, i: int) -> bool:
-    c = w[i]
-    return c not in "aeiou" and not (c == "y" and i > 0 and _consonant(w, i - 1))
+def _shape(w: str) -> str:
+    """c or v for each letter: y is a vowel after a consonant."""
+    out, last = [], "v"
+    for c in w:
+        last = "v" if c in "aeiou" or c == "y" and out and last == "c" else "c"
+        out.append(last)
+    return "".join(out)
 
 
 def _measure(stem: str) -> int:
-    shape = "".join("c" if _consonant(stem, i) else "v" for i in range(len(stem)))
-    return sum(a == "v" and b == "c" for a, b in zip(shape, shape[1:]))
+    return _shape(stem).count("vc")
 
 
 def _vowel(stem: str) -> bool:
-    return any(not _consonant(stem, i) for i in range(len(stem)))
+    return "v" in _shape(stem)
 
 
 def _double(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1)
+    return len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c"
 
 
 def _cvc(w: str) -> bool:
-    return len(w) > 2 and _consonant(w, len(w) - 3) and not _consonant(w, len(w) - 2) and _consonant(w, len(w) - 1) and w[-1] not in "wxy"
+    return len(w) > 2 and _shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
 
 
 # The suffix tables of steps 2, 3 and 4.
@@ -84,7 +87,7 @@ def stem(w: str) -> str:
 
 
 def stems(word: Column) -> Column:
-    """string: stems of words; meant for a table of distinct words, which is joined back."""
+    """string: stems of a column of words."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:

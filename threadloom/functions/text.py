@@ -1,5 +1,10 @@
 """Text functions as Column expressions: tokens, stopwords, HTML, URLs, escapes."""
 
+import json
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,16 +48,63 @@ def treebank_tokens(text: Column) -> Column:
 
 
 def positioned(tokens: Column, stopwords: list[str] | tuple[str, ...] = tuple(STOPWORDS)) -> Column:
-    """array<struct<term, pos>>: positions are those before stopwords and tokens that begin with // are dropped."""
+    """array<struct<term, pos>>: positions are those before stopwords are dropped."""
     placed = F.transform(tokens, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
-    keep = lambda x: ~x["term"].startswith("//") & (~x["term"].isin(*stopwords) if stopwords else F.lit(True))
-    return F.filter(placed, keep)
+    return F.filter(placed, lambda x: ~x["term"].isin(*stopwords)) if stopwords else placed
+
+
+def without_comments(placed: Column) -> Column:
+    """The usual last step of an analyzer: terms that begin with // go."""
+    return F.filter(placed, lambda x: ~x["term"].startswith("//"))
+
+
+def mapped(words: Column, function: Callable[[str], str], held: int = 500_000) -> Column:
+    """array<string>: each word by a Python function, which is called once for each distinct word of a batch and kept for a task."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, str] = {}
+        for a in arrays:
+            flat = a.flatten().dictionary_encode()
+            if len(known) > held:
+                known.clear()
+            values = []
+            for w in flat.dictionary.to_pylist():
+                if (v := known.get(w)) is None:
+                    v = known[w] = function(w)
+                values.append(v)
+            out = pa.array(values, pa.string()).take(flat.indices)
+            ends = np.cumsum([0, *(n or 0 for n in a.value_lengths().to_pylist())])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out)
+
+    return F.arrow_udf(run, "array<string>")(words)
+
+
+def with_terms(placed: Column, terms: Column) -> Column:
+    """placed with other terms at the same positions."""
+    return F.zip_with(placed, terms, lambda x, t: F.struct(t.alias("term"), x["pos"].alias("pos")))
+
+
+def by_term(ordered: Column, starts: Column) -> Column:
+    """array<struct<term, positions>>. ordered: array<struct<term, pos>> sorted; starts: where its terms begin (``term_starts``). Both should be columns of their own."""
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(ordered))
+    run = lambda at, k: F.slice(ordered, at + 1, end(k) - at)
+    return F.transform(starts, lambda at, k: F.struct(F.get(ordered, at)["term"].alias("term"), F.transform(run(at, k), lambda x: x["pos"]).alias("positions")))
+
+
+def term_starts(ordered: Column) -> Column:
+    """array<int>: indices of a sorted array<struct<term, pos>> where another term begins."""
+    places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: (i == 0) | (F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"]))
+
+
+#: What counts as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def html_strip(html: Column) -> Column:
-    """Text of HTML: scripts, styles and comments go, tags and &nbsp; become blanks, double blanks are halved twice."""
-    t = F.trim(html, F.lit(" \t\n\r\x0b\x0c"))
-    t = F.regexp_replace(t, r"(?is)<(script|style).*?>.*?</\1.*?>", "")
+    """Text of HTML: scripts and styles up to their exact end tags and comments go, tags and &nbsp; become blanks, double blanks are halved twice."""
+    t = F.trim(html, F.lit(WHITE))
+    t = F.regexp_replace(t, r"(?is)<(script|style).*?>.*?</\1>", "")  # fixed patterns: they define the result
     t = F.regexp_replace(t, r"(?s)<!--.*?-->[\n]?", "")
     t = F.regexp_replace(t, r"(?s)<.*?>", " ")
     t = F.replace(t, F.lit("&nbsp;"), F.lit(" "))
@@ -82,3 +134,13 @@ def contains_sequence(items: Column, part: Column) -> Column:
     """Whether an array holds another as consecutive items; an empty one always. Items are compared as one joined string, so each array is made once."""
     line = lambda a: F.concat(F.lit("\x01"), F.array_join(a, "\x01"), F.lit("\x01"))
     return (F.size(part) == 0) | F.contains(line(items), line(part))
+
+
+def sorted_json(value: object) -> str:
+    """JSON with sorted keys, other letters than ASCII as they are."""
+    return json.dumps(value, sort_keys=True, ensure_ascii=False)
+
+
+def row_json(columns: list[str]) -> Column:
+    """Columns as one JSON object, keys sorted; nulls are written."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

@@ -1,8 +1,13 @@
 """From raw records to comments: de-duplication, surrogate ids, parents, flattened threads, vectors."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import html_strip, url_basename
+from threadloom.storage import cut, numbered
+
 
 def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key. An aggregate, so a hot key is reduced before the shuffle."""
@@ -15,9 +20,9 @@ def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def appearance_ids(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """key -> dense id by first appearance, from 0. The numbering runs over the distinct keys only."""
+    """key -> dense id by first appearance, from 0. Distinct keys are numbered by ranges of their first appearance, in many tasks."""
     first = df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy(key).agg(F.min(F.struct(*order)).alias("at"))
-    return first.select(key, (F.row_number().over(Window.orderBy("at")) - 1).cast("bigint").alias(name))
+    return numbered(first, ["at"], name).select(key, name)
 
 
 def run_ids(df: DataFrame, value: str, order: list[str], block: Column, name: str) -> DataFrame:
@@ -41,26 +46,26 @@ def run_ids(df: DataFrame, value: str, order: list[str], block: Column, name: st
 def comment_ids(df: DataFrame, run: str, orig: str, order: list[str], name: str) -> DataFrame:
     """run, orig -> dense id over all runs by first appearance within each; ids known in one run are new in the next. Empty ids get none."""
     first = df.where(F.col(orig).isNotNull() & (F.col(orig) != "")).groupBy(run, orig).agg(F.min(F.struct(*order)).alias("at"))
-    sizes = first.groupBy(run).agg(F.count("*").alias("n"))
-    before = sizes.select(run, F.coalesce(F.sum("n").over(Window.orderBy(run).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    local = F.row_number().over(Window.partitionBy(run).orderBy("at")) - 1
-    return first.withColumn("l", local).join(before, run).select(run, orig, (F.col("base") + F.col("l")).cast("bigint").alias(name))
+    return numbered(first, [run, "at"], name).select(run, orig, name)
 
 
-def resolved_parents(comments: DataFrame, most_depth: int = 1000) -> DataFrame:
+def resolved_parents(comments: DataFrame) -> DataFrame:
     """comments (run, seq, orig_id, orig_parent) whose parents are known: those with no parent, or whose parent stands earlier in their run and is kept itself.
 
-    Works from the roots down, one join a level; rows of a level are only its children, so the work follows the size of the table.
+    Works from the roots down until a level is empty, one join and one write to the shared folder a level; rows of a level are only its
+    children, so the work follows the size of the table, and the number of jobs the depth of its threads.
     """
     level = kept = comments.where("orig_parent is null or orig_parent = ''").withColumn("depth", F.lit(0))
     rest = comments.where("orig_parent is not null and orig_parent <> ''")
-    for depth in range(1, most_depth):
-        up = level.select("run", F.col("orig_id").alias("orig_parent"), F.col("seq").alias("__seq"))
-        level = rest.join(up, ["run", "orig_parent"]).where("__seq < seq").groupBy(*comments.columns).agg(F.lit(depth).alias("depth")).checkpoint()
+    depth = 0
+    while True:
+        depth += 1
+        up = level.select("run", F.col("orig_id").alias("orig_parent"), F.col("seq").alias("above"))
+        level = rest.join(up, ["run", "orig_parent"]).where("above < seq").groupBy(*comments.columns).agg(F.lit(depth).alias("depth"))
+        level = cut(level)
         if level.isEmpty():
             return kept
         kept = kept.unionByName(level)
-    raise ValueError(f"threads deeper than {most_depth}")
 
 
 def vote_count(actions: Column, kind: str = "LikeActionSummary") -> Column:
@@ -69,30 +74,62 @@ def vote_count(actions: Column, kind: str = "LikeActionSummary") -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(-1))["count"], F.lit(0))
 
 
-def flatten_threads(nodes: DataFrame, levels: int) -> DataFrame:
-    """Nested comments to rows (path, comment_id, comment_author, comment_text, timestamp, parent_comment_id, upvotes, downvotes).
+#: What is read of a comment of the newer API; replies stay JSON, so they may nest to any depth.
+NODE = "id string, body string, created_at string, user struct<username: string>, action_summaries array<struct<__typename: string, count: bigint>>, replies struct<nodes: array<string>>"
+
 
-    nodes: one row a root, column node of struct<id, body, created_at, user, action_summaries, replies>; replies nest
-    ``levels`` deep in the schema. Ordering by path is pre-order.
+def flatten_threads(nodes: DataFrame) -> DataFrame:
+    """Nested comments to rows, to any depth: what nodes has besides, path, comment_id, comment_author, comment_text, timestamp, parent_comment_id, upvotes, downvotes.
+
+    nodes: one row a root, node (its JSON), path (array<bigint>, where the root stands) and parent (of the root; null for none). Ordering by path is pre-order. A comment without replies is a
+    leaf. Levels are written one by one until one is empty.
     """
-    level = nodes.select("node", F.lit(None).cast("string").alias("parent"), F.array(F.monotonically_increasing_id()).alias("path"))
-    out = None
-    for i in range(levels + 1):
-        n = F.col("node")
-        row = level.select("path", n["id"].alias("comment_id"), n["user"]["username"].alias("comment_author"), n["body"].alias("comment_text"), n["created_at"].alias("timestamp"), F.col("parent").alias("parent_comment_id"), vote_count(n["action_summaries"]).cast("bigint").alias("upvotes"), F.lit(0).cast("bigint").alias("downvotes"))
+    rest = [c for c in nodes.columns if c not in ("node", "path", "parent")]
+    level, out = nodes.select(*rest, "node", "path", "parent"), None
+    while out is None or not level.isEmpty():
+        n = F.col("n")
+        level = cut(level.withColumn("n", F.from_json("node", NODE)).drop("node"))
+        row = level.select(*rest, "path", n["id"].alias("comment_id"), n["user"]["username"].alias("comment_author"), n["body"].alias("comment_text"), n["created_at"].alias("timestamp"), F.col("parent").alias("parent_comment_id"), vote_count(n["action_summaries"]).cast("bigint").alias("upvotes"), F.lit(0).cast("bigint").alias("downvotes"))
         out = row if out is None else out.unionByName(row)
-        if i < levels:
-            level = level.select("path", n["id"].alias("parent"), F.posexplode(n["replies"]["nodes"]).alias("i", "node")).select("node", "parent", F.concat("path", F.array(F.col("i").cast("bigint"))).alias("path"))
+        level = level.select(*rest, "path", n["id"].alias("parent"), F.posexplode(n["replies"]["nodes"]).alias("i", "node")).select(*rest, "node", F.concat("path", F.array(F.col("i").cast("bigint"))).alias("path"), "parent")
     return out
 
 
-def old_api_rows(entries: DataFrame) -> DataFrame:
-    """Activities of the older API to comment rows. A parent that is the comment itself, or none, is null."""
-    from threadloom.functions.text import url_basename
+def count_threads(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """How many comments, replies of any depth included, stand under each value of ``by``."""
+    return flatten_threads(nodes).groupBy(*by).agg(F.count("*").alias("comments"))
+
 
+def old_api_rows(entries: DataFrame, rest: Sequence[str] = ()) -> DataFrame:
+    """Activities of the older API to comment rows, beside columns ``rest`` of theirs. A parent that is the comment itself, or none, is null."""
     target = F.try_element_at(F.filter("targets", lambda t: t["conversationID"].isNotNull()), F.lit(1))["conversationID"]
     cid = url_basename(F.col("object.id"))
-    return entries.select(cid.alias("comment_id"), F.col("actor.title").alias("comment_author"), F.col("object.content").alias("comment_text"), F.col("object.published").alias("timestamp"), F.nullif(url_basename(target), cid).alias("parent_comment_id"), F.coalesce(F.col("object.accumulators.likesCount"), F.lit(0)).cast("bigint").alias("upvotes"), F.lit(0).cast("bigint").alias("downvotes"))
+    return entries.select(*rest, cid.alias("comment_id"), F.col("actor.title").alias("comment_author"), F.col("object.content").alias("comment_text"), F.col("object.published").alias("timestamp"), F.nullif(url_basename(target), cid).alias("parent_comment_id"), F.coalesce(F.col("object.accumulators.likesCount"), F.lit(0)).cast("bigint").alias("upvotes"), F.lit(0).cast("bigint").alias("downvotes"))
+
+
+def comment_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """What the comment files hold: comments, comment ids, articles and authors, with their numbers, from crawled records.
+
+    records: seq (their order), article_id, article_url, comment_id, comment_author, comment_text, timestamp, parent_comment_id,
+    upvotes, downvotes. An article gets a new number wherever it differs from the record before; authors are numbered by first
+    appearance, also those whose comment is left out; comments whose parent isn't known earlier in their article are left out,
+    and so are theirs; comment ids are numbered over the rest, anew in each article.
+    """
+    runs = cut(run_ids(records, "article_id", ["seq"], F.floor(F.col("seq") / 100_000), "run"))
+    authors = cut(appearance_ids(runs, "comment_author", ["seq"], "author_id"))
+    known = resolved_parents(runs.select("run", "seq", F.col("comment_id").alias("orig_id"), F.col("parent_comment_id").alias("orig_parent")))
+    kept = runs.join(known.select("run", "seq"), ["run", "seq"], "left_semi")
+    ids = cut(comment_ids(kept, "run", "comment_id", ["seq"], "cid"))
+    parents = ids.select("run", F.col("comment_id").alias("parent_comment_id"), F.col("cid").alias("parent"))
+    comments = kept.join(ids, ["run", "comment_id"], "left").join(parents, ["run", "parent_comment_id"], "left").join(authors, "comment_author", "left")
+    comments = comments.select("seq", "cid", F.col("run").alias("article_id"), "author_id", F.col("comment_text").alias("text"), F.col("timestamp").alias("time"), "parent", "upvotes", "downvotes")
+    articles = runs.groupBy("run").agg(F.min_by("article_url", "seq").alias("article_url")).select(F.col("run").alias("article_id"), "article_url")
+    return {"comments": comments, "comment_ids": ids.select("cid", F.col("comment_id").alias("orig_comment_id")), "articles": articles, "authors": authors.select("author_id", F.col("comment_author").alias("author"))}
+
+
+def cleaned(records: DataFrame) -> DataFrame:
+    """Crawled records (seq, comment_id, comment_text and others) as the crawl leaves them: the first of each comment id, without HTML."""
+    return first_of_each(records, "comment_id", ["seq"]).withColumn("comment_text", html_strip(F.col("comment_text")))
 
 
 def without_nul(df: DataFrame, column: str) -> DataFrame:

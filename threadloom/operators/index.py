@@ -1,39 +1,68 @@
 """The inverted index: documents, postings, terms and replies as four DataFrames."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.porter import stem, stems
-from threadloom.functions.text import STOPWORDS, positioned, simple_tokens, treebank_tokens
+from threadloom.functions import porter, porter2
+from threadloom.functions.text import STOPWORDS, by_term, mapped, positioned, simple_tokens, term_starts, treebank_tokens, with_terms, without_comments
+from threadloom.storage import cut
+
+#: Stemmers by name; any function of a word to a word may stand in for one.
+STEMMERS: dict[str, Callable[[str], str]] = {"porter": porter.stem, "porter2": porter2.stem}
+
+
+def lemmatizer(lemmas: dict[str, str]) -> Callable[[str], str]:
+    """A stemmer's stand-in: words by a dictionary, others as they are."""
+    return lambda word: lemmas.get(word, word)
 
 
 @dataclass(frozen=True)
 class Analyzer:
-    """How texts become terms. tokens: a Column function; stemmed: whether terms are Porter stems; step: a last filter on array<struct<term, pos>>."""
+    """How texts become terms: tokens, stopwords out, stems or lemmas, then the last steps.
+
+    tokens: a Column function; stemmer: a name of STEMMERS, a function of a word, or None; steps: filters on
+    array<struct<term, pos>>.
+    """
 
     tokens: Callable[[Column], Column] = simple_tokens
     stopwords: tuple[str, ...] = tuple(STOPWORDS)
-    stemmed: bool = False
-    step: Callable[[Column], Column] | None = None
+    stemmer: str | Callable[[str], str] | None = None
+    steps: tuple[Callable[[Column], Column], ...] = (without_comments,)
+
+    def with_stopwords(self, *words: str, append: bool = False) -> "Analyzer":
+        return Analyzer(self.tokens, (*self.stopwords, *words) if append else words, self.stemmer, self.steps)
+
+    def with_step(self, step: Callable[[Column], Column]) -> "Analyzer":
+        return Analyzer(self.tokens, self.stopwords, self.stemmer, (*self.steps, step))
 
     def plain(self, text: Column) -> Column:
         return F.filter(self.tokens(text), lambda w: ~w.startswith("//"))
 
-    def placed(self, text: Column) -> Column:
-        out = positioned(self.tokens(text), self.stopwords)
-        return self.step(out) if self.step else out
+    def stepped(self, placed: Column) -> Column:
+        for step in self.steps:
+            placed = step(placed)
+        return placed
+
+    def placed(self, rows: DataFrame, text: str = "text", name: str = "placed") -> DataFrame:
+        """rows with array<struct<term, pos>> of a text. Stages are columns of their own, so each is evaluated once."""
+        rows = rows.withColumn(name, positioned(self.tokens(F.col(text)), self.stopwords))
+        if self.stemmer:
+            stem = STEMMERS[self.stemmer] if isinstance(self.stemmer, str) else self.stemmer
+            rows = rows.withColumn(name, with_terms(F.col(name), mapped(F.col(f"{name}.term"), stem)))
+        return rows.withColumn(name, self.stepped(F.col(name)))
 
     def terms_of(self, spark: SparkSession, text: str, plain: bool = False) -> list[str]:
         """A query's terms: the same expressions over one literal row."""
-        expr = self.plain(F.lit(text)) if plain else self.placed(F.lit(text))["term"]
-        words = spark.range(1).select(expr.alias("w")).first()[0]
-        return words if plain else [t for t in (stem(w) if self.stemmed else w for w in words) if t]
+        row = spark.range(1).select(F.lit(text).alias("text"))
+        words = row.select(self.plain(F.col("text"))).first()[0] if plain else self.placed(row).select("placed.term").first()[0]
+        return words if plain else [t for t in words if t]
 
 
-SIMPLE, TREEBANK = Analyzer(), Analyzer(treebank_tokens, stemmed=True)
+SIMPLE, TREEBANK = Analyzer(), Analyzer(treebank_tokens, stemmer="porter")
+TARGETS = ("docs", "postings", "terms", "replies")
 
 
 @dataclass(frozen=True)
@@ -45,42 +74,118 @@ class Index:
     analyzer: Analyzer
     n_docs: int
 
-    def save(self, path: str) -> None:
-        """Postings and terms are clustered by term, so a term's lookup reads few row groups; replies by parent, docs by cid."""
-        self.docs.repartitionByRange("cid").sortWithinPartitions("cid").write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term", "cid").sortWithinPartitions("term", "cid").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
-        _terms(stored, self.n_docs).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        self.replies.repartitionByRange("parent_cid").sortWithinPartitions("parent_cid").write.mode("overwrite").parquet(f"{path}/replies")
+    def save(self, path: str, targets: Iterable[str] = TARGETS) -> None:
+        """Postings and terms are clustered by term, so a term's lookup reads few row groups; replies by parent, docs by cid.
+
+        Texts are analysed once: what is dealt out by ranges, for which Spark samples it first, is the stored analysis.
+        """
+        targets = set(targets)
+        if wrong := targets - set(TARGETS):
+            raise ValueError(f"no such targets: {sorted(wrong)}")
+        if targets & {"docs", "postings", "terms"} and "entries" in self.docs.columns:
+            kept = cut(self.docs)
+            stored = Index(kept, _flat(kept), _terms(_flat(kept), self.n_docs), self.replies, self.analyzer, self.n_docs)
+        else:
+            stored = self
+        if "docs" in targets:
+            stored.docs.drop("entries").repartitionByRange("cid").sortWithinPartitions("cid").write.mode("overwrite").parquet(f"{path}/docs")
+        if "postings" in targets:
+            stored.postings.repartitionByRange("term", "cid").sortWithinPartitions("term", "cid").write.mode("overwrite").parquet(f"{path}/postings")
+        if "terms" in targets:
+            stored.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        if "replies" in targets:
+            self.replies.repartitionByRange("parent_cid").sortWithinPartitions("parent_cid").write.mode("overwrite").parquet(f"{path}/replies")
 
     @staticmethod
     def load(spark: SparkSession, path: str, analyzer: Analyzer = SIMPLE) -> "Index":
-        docs, postings, terms, replies = (spark.read.parquet(f"{path}/{x}") for x in ("docs", "postings", "terms", "replies"))
+        docs, postings, terms, replies = (spark.read.parquet(f"{path}/{x}") for x in TARGETS)
         return Index(docs, postings, terms, replies, analyzer, docs.count())
 
-    def tf_idf(self, term: str, cid: int) -> tuple[float, float]:
-        """(tf, idf); (0, 0) for an unknown term, (0, idf) where the document hasn't it."""
-        t = self.terms.where(F.col("term") == term).first()
-        p = self.postings.where((F.col("term") == term) & (F.col("cid") == cid)).first()
-        return (p["tf"] if p else 0.0, t["idf"] if t else 0.0)
+    # Readers. Point lookups reach Parquet as pushed filters.
+
+    def retrieve(self, term: str) -> DataFrame:
+        """cid, tf, positions of a term, with its idf; no rows for an unknown term."""
+        return self.postings.where(F.col("term") == term).join(F.broadcast(self.terms.where(F.col("term") == term).select("term", "idf")), "term").select("cid", "tf", "positions", "idf")
+
+    def posting_list(self, term: str) -> DataFrame:
+        return self.postings.where(F.col("term") == term).select("cid", "tf", "positions")
 
     def replied_to(self, cid: int) -> DataFrame:
         return self.replies.where(F.col("parent_cid") == cid).select(F.col("child_cid").alias("cid"))
 
+    def tf(self, term: str, cid: int) -> float:
+        p = self.postings.where((F.col("term") == term) & (F.col("cid") == cid)).first()
+        return p["tf"] if p else 0.0
+
+    def idf(self, term: str) -> float:
+        t = self.terms.where(F.col("term") == term).first()
+        return t["idf"] if t else 0.0
+
+    def tf_idf(self, term: str, cid: int) -> tuple[float, float]:
+        """(tf, idf); (0, 0) for an unknown term, (0, idf) where the document hasn't it."""
+        return self.tf(term, cid), self.idf(term)
+
+    def term_list(self) -> DataFrame:
+        return self.terms.select("term")
+
+    def parent_cids(self) -> DataFrame:
+        return self.replies.select("parent_cid").distinct()
+
+    def n_terms(self) -> int:
+        return self.terms.count()
+
+    def cids(self) -> DataFrame:
+        return self.docs.select("cid")
+
+    def documents(self, cids: list[int]) -> DataFrame:
+        """Texts by comment id."""
+        return self.docs.where(F.col("cid").isin(*cids)).select("cid", "text")
+
+    def keep(self) -> "Index":
+        """Holds terms and replies in the executors' memory for many lookups; close() lets go."""
+        return Index(self.docs, self.postings, self.terms.persist(), self.replies.persist(), self.analyzer, self.n_docs)
+
+    def close(self) -> None:
+        for x in (self.docs, self.postings, self.terms, self.replies):
+            x.unpersist()
+
+    def __enter__(self) -> "Index":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
 
 def _terms(postings: DataFrame, n_docs: int) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.lit(float(n_docs)) / F.col("df"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores at least: a file of one row group would be read, and so analysed, by one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def analysed(docs: DataFrame, analyzer: Analyzer = SIMPLE) -> DataFrame:
+    """docs (cid, text and others) with doc_len, the number of terms after the analyzer's steps, and entries array<struct<term, positions>>.
+
+    All of a document's terms are grouped on its row: sorted, then cut where the term changes. So nothing is shuffled
+    before the postings are dealt out by term.
+    """
+    rows = analyzer.placed(spread(docs)).withColumn("doc_len", F.size("placed"))
+    rows = rows.withColumn("placed", F.sort_array(F.filter("placed", lambda x: x["term"] != ""))).withColumn("starts", term_starts(F.col("placed")))
+    return rows.withColumn("entries", by_term(F.col("placed"), F.col("starts"))).drop("placed", "starts")
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """Postings of analysed rows. explode_outer, as for explode Spark would evaluate the analysis once more, to filter by it."""
+    one = rows.select("cid", "doc_len", F.explode_outer("entries").alias("x")).where("x is not null")
+    return one.select("x.term", "cid", (F.size("x.positions") / F.col("doc_len")).alias("tf"), "x.positions")
+
+
 def postings_of(docs: DataFrame, analyzer: Analyzer = SIMPLE) -> DataFrame:
     """docs (cid, text) -> term, cid, tf, positions. The document's length counts its tokens after stopwords, before empty terms are dropped."""
-    placed = docs.select("cid", analyzer.placed(F.col("text")).alias("p")).withColumn("doc_len", F.size("p"))
-    one = placed.select("cid", "doc_len", F.explode("p").alias("x")).select("cid", "doc_len", "x.term", "x.pos").where("term <> ''")
-    if analyzer.stemmed:
-        words = one.select(F.col("term").alias("word")).distinct().withColumn("term", stems(F.col("word")))
-        one = one.withColumnRenamed("term", "word").join(words, "word").where("term <> ''")
-    grouped = one.groupBy("cid", "term", "doc_len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "cid", (F.size("positions") / F.col("doc_len")).alias("tf"), "positions")
+    return _flat(analysed(docs.select("cid", "text"), analyzer))
 
 
 def replies_of(docs: DataFrame) -> DataFrame:
@@ -92,14 +197,51 @@ def build(docs: DataFrame, analyzer: Analyzer = SIMPLE) -> Index:
     """docs: cid, text and, if there are threads, parent_cid."""
     if "parent_cid" not in docs.columns:
         docs = docs.withColumn("parent_cid", F.lit(None).cast("bigint"))
-    rows = docs.select("cid", "text", analyzer.plain(F.col("text")).alias("toks"), F.size(analyzer.placed(F.col("text"))).alias("doc_len"), "parent_cid")
+    rows = analysed(docs.select("cid", "text", "parent_cid"), analyzer).withColumn("toks", analyzer.plain(F.col("text")))
     postings, n = postings_of(docs, analyzer), docs.count()
-    return Index(rows, postings, _terms(postings, n), replies_of(docs), analyzer, n)
+    return Index(rows.select("cid", "text", "toks", "doc_len", "parent_cid", "entries"), postings, _terms(postings, n), replies_of(docs), analyzer, n)
+
+
+#: Comment ids of one block of a posting list.
+GAP_BLOCK = 1 << 16
+
+
+def _blocked(postings: DataFrame) -> DataFrame:
+    """postings with block and prev, the id before each one in its list: a list is sorted block by block, and blocks are chained by their last ids."""
+    rows = postings.select("term", "cid", F.floor(F.col("cid") / GAP_BLOCK).alias("block"))
+    blocks = rows.groupBy("term", "block").agg(F.max("cid").alias("last"))
+    before = blocks.select("term", "block", F.lag("last").over(Window.partitionBy("term").orderBy("block")).alias("before"))
+    inside = Window.partitionBy("term", "block").orderBy("cid")
+    return rows.withColumn("prev", F.lag("cid").over(inside)).join(before, ["term", "block"]).withColumn("prev", F.coalesce("prev", "before"))
 
 
 def gaps(postings: DataFrame) -> DataFrame:
-    """term, cid, gap: comment ids as differences along each posting list."""
-    from pyspark.sql import Window
+    """term, cid, gap: comment ids as differences along each posting list. A common term's list goes to many tasks."""
+    return _blocked(postings).select("term", "cid", (F.col("cid") - F.coalesce("prev", F.lit(0))).alias("gap"))
+
+
+def gap_blocks(postings: DataFrame) -> DataFrame:
+    """term, block, first, gaps array<bigint>: the packed form of ids, in blocks of bounded size."""
+    rows = _blocked(postings).groupBy("term", "block").agg(F.array_sort(F.collect_list("cid")).alias("c"))
+    return rows.select("term", "block", F.get("c", 0).alias("first"), F.transform("c", lambda x, i: x - F.coalesce(F.get("c", i - 1), x)).alias("gaps"))
+
+
+def from_gap_blocks(blocks: DataFrame) -> DataFrame:
+    """term, cid from gap_blocks(): running sums within each block."""
+    each = blocks.select("term", "block", "first", F.posexplode("gaps").alias("i", "gap"))
+    return each.select("term", (F.col("first") + F.sum("gap").over(Window.partitionBy("term", "block").orderBy("i"))).alias("cid"))
+
+
+def posting_lines(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, block, line: the older text form ``idf;cid|tf|p,p;...``, a line for each block of ids of a term."""
+    one = F.concat_ws("|", F.col("cid").cast("string"), F.col("tf").cast("string"), F.array_join(F.col("positions").cast("array<string>"), ","))
+    rows = postings.select("term", "cid", F.floor(F.col("cid") / GAP_BLOCK).alias("block"), one.alias("one"))
+    lists = rows.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("cid", "one"))).alias("m")).join(terms.select("term", "idf"), "term")
+    return lists.select("term", "block", F.concat_ws(";", F.col("idf").cast("string"), F.array_join("m.one", ";")).alias("line"))
+
 
-    w = Window.partitionBy("term").orderBy("cid")
-    return postings.select("term", "cid", (F.col("cid") - F.coalesce(F.lag("cid").over(w), F.lit(0))).alias("gap"))
+def from_posting_lines(lines: DataFrame) -> DataFrame:
+    """term, cid, tf, positions, idf of posting_lines()."""
+    parts = lines.select("term", F.split("line", ";").alias("p")).select("term", F.get("p", 0).cast("double").alias("idf"), F.explode(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))).alias("x"))
+    f = F.split("x", r"\|")
+    return parts.select("term", F.get(f, 0).cast("bigint").alias("cid"), F.get(f, 1).cast("double").alias("tf"), F.split(F.get(f, 2), ",").cast("array<int>").alias("positions"), "idf")

@@ -1,6 +1,7 @@
 """Every query of the search engine over the test tables, with its SQL."""
 
-from functools import partial
+import uuid
+from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from threadloom.functions.porter import stems
 from threadloom.functions.text import STOPWORDS, contains_sequence, html_strip, int_or, simple_tokens, treebank_tokens, url_basename
 from threadloom.operators import etl
-from threadloom.operators.index import build, gaps
+from threadloom.operators.index import Index, build, from_gap_blocks, gap_blocks, gaps
 from threadloom.operators.search import SearchEngine
+from threadloom.storage import shared_dir
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 _TOKENS = rf"""
@@ -36,8 +38,21 @@ def _threads(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "conversations").select(cid.alias("cid"), "text", F.when(F.col("turn") > 0, cid - 1).alias("parent_cid"))
 
 
+@lru_cache(maxsize=8)
+def _saved(application: str, d: str, threads: bool) -> str:
+    """Where the index over a folder's documents, or conversations, is saved; once for each application."""
+    spark = SparkSession.active()
+    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    build(_threads(spark, d) if threads else _docs(spark, d)).save(path)
+    return path
+
+
+def _index(spark: SparkSession, d: str, threads: bool = False) -> Index:
+    return Index.load(spark, _saved(spark.sparkContext.applicationId, d, threads))
+
+
 def _engine(spark: SparkSession, d: str) -> SearchEngine:
-    return SearchEngine(build(_docs(spark, d)))
+    return SearchEngine(_index(spark, d))
 
 
 def _ranked(query: str, k: int | None, spark: SparkSession, d: str) -> DataFrame:
@@ -84,35 +99,43 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def terms_idf(spark: SparkSession, d: str) -> DataFrame:
-    return build(_docs(spark, d)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
-    return build(_docs(spark, d)).docs.select("cid", F.size("toks").cast("bigint").alias("n_tokens"), F.col("doc_len").cast("bigint").alias("doc_len"))
+    return _index(spark, d).docs.select("cid", F.size("toks").cast("bigint").alias("n_tokens"), F.col("doc_len").cast("bigint").alias("doc_len"))
 
 
 def distinct_terms(spark: SparkSession, d: str) -> DataFrame:
-    return build(_docs(spark, d)).postings.agg(F.countDistinct("term").alias("n_terms"))
+    return _index(spark, d).term_list().agg(F.countDistinct("term").alias("n_terms"))
 
 
 def tfidf_lookup(spark: SparkSession, d: str) -> DataFrame:
-    i = build(_docs(spark, d))
-    got = i.postings.where("term = 'pathetic'").join(i.terms.where("term = 'pathetic'"), "term")
-    docs = i.docs.select("cid").join(got.select("cid", "tf", "idf"), "cid", "left")
+    i = _index(spark, d)
+    docs = i.cids().join(i.retrieve("pathetic").select("cid", "tf", "idf"), "cid", "left")
     return docs.select("cid", F.round(F.coalesce("tf", F.lit(0.0)), 12).alias("tf"), F.col("idf").isNotNull().alias("has_term"))
 
 
 def posting_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return gaps(build(_docs(spark, d)).postings)
+    return gaps(_index(spark, d).postings)
+
+
+def posting_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Posting lists packed as gaps, and unpacked."""
+    return from_gap_blocks(gap_blocks(_index(spark, d).postings))
+
+
+def parents(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d, threads=True).parent_cids()
 
 
 def reply_index(spark: SparkSession, d: str) -> DataFrame:
-    r = build(_threads(spark, d)).replies
+    r = _index(spark, d, threads=True).replies
     return r.groupBy("parent_cid").agg(F.array_join(F.array_sort(F.collect_list("child_cid")).cast("array<string>"), ",").alias("children"), F.count("*").alias("n"))
 
 
 def reply_to(spark: SparkSession, d: str) -> DataFrame:
-    return SearchEngine(build(_threads(spark, d))).search("ReplyTo:3001")
+    return SearchEngine(_index(spark, d, threads=True)).search("ReplyTo:3001")
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
@@ -150,14 +173,8 @@ def comment_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parent_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of user and system break the thread above them: only what hangs on turn 0 without a gap at turn 2 stays."""
-    c = _threads(spark, d).where("not (cid % 1000 = 2 and cid % 7 = 0)")
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="threadloom-"))
-    rows = c.select(F.floor(F.col("cid") / 1000).alias("run"), F.col("cid").alias("seq"), F.col("cid").cast("string").alias("orig_id"), F.col("parent_cid").cast("string").alias("orig_parent"))
+    """Every turn whose thread reaches back to turn 0, with its depth."""
+    rows = _threads(spark, d).select(F.floor(F.col("cid") / 1000).alias("run"), F.col("cid").alias("seq"), F.col("cid").cast("string").alias("orig_id"), F.col("parent_cid").cast("string").alias("orig_parent"))
     return etl.resolved_parents(rows).select(F.col("seq").alias("cid"), F.col("depth").cast("bigint").alias("depth"))
 
 
@@ -202,7 +219,7 @@ QUERIES = {
     "prefix_topk": partial(_ranked, "thtion*", 20), "phrase": partial(_ids, "'the er'"), "phrase_terms": partial(_ids, "'license version 2'"),
     "bool_and": partial(_ids, "pathetic AND scum"), "bool_or": partial(_ids, "pathetic OR scum OR moron"), "bool_not": partial(_ids, "pathetic NOT scum"),
     "bool_empty_operand": partial(_ids, "pathetic AND zzzzzz"), "bool_prefix": partial(_ids, "thtion* NOT pathetic"), "query_error": partial(_ids, "NOT pathetic"),
-} | {f.__name__: f for f in (keyword_text, search_batch, postings, terms_idf, doc_stats, distinct_terms, tfidf_lookup, posting_gaps, reply_index, reply_to, html_text, url_names, dedupe_first, dup_counts, author_ids, article_runs, comment_ids, parent_resolve, cosine, euclid, sha256, int_parse, phrase_in_tokens, stem_vocabulary, treebank_counts)}
+} | {f.__name__: f for f in (keyword_text, search_batch, postings, terms_idf, doc_stats, distinct_terms, tfidf_lookup, posting_gaps, posting_ids, parents, reply_index, reply_to, html_text, url_names, dedupe_first, dup_counts, author_ids, article_runs, comment_ids, parent_resolve, cosine, euclid, sha256, int_parse, phrase_in_tokens, stem_vocabulary, treebank_counts)}
 
 _KEYS = lambda *w: (f"term in ({', '.join(repr(x) for x in w)})", f"idf / {len(w)}", "case term " + " ".join(f"when '{x}' then {i}" for i, x in enumerate(w)) + " end")
 _PREFIX = ("starts_with(term, 'thtion')", "idf / (select count(*) from terms where starts_with(term, 'thtion'))", "term")
@@ -221,16 +238,17 @@ ORACLES = {
     "doc_stats": f"with {_TOKENS} select cid, len(toks)::bigint as n_tokens, coalesce(doc_len, 0)::bigint as doc_len from tok left join dl using (cid)",
     "distinct_terms": f"with {_TOKENS} select count(distinct term) as n_terms from post",
     "tfidf_lookup": f"with {_TOKENS} select t.cid, round(coalesce(tf, 0), 12) as tf, tf is not null as has_term from tok t left join post p on p.cid = t.cid and p.term = 'pathetic'",
+    "posting_ids": f"with {_TOKENS} select term, cid from post", "parents": f"with {_TURNS} select distinct parent as parent_cid from c where parent is not null and parent <> 0 and parent <> cid",
     "posting_gaps": f"with {_TOKENS} select term, cid, cid - coalesce(lag(cid) over (partition by term order by cid), 0) as gap from post",
     "reply_index": f"with {_TURNS} select parent as parent_cid, string_agg(cid::varchar, ',' order by cid) as children, count(*) as n from c where parent is not null and parent <> 0 and parent <> cid group by parent",
     "reply_to": f"with {_TURNS} select cid from c where parent = 3001",
-    "html_text": r"select page_id, trim(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(html, E' \t\n\r'), '(?is)<script.*?>.*?</script.*?>', '', 'g'), '(?is)<style.*?>.*?</style.*?>', '', 'g'), '(?s)<!--.*?-->[\n]?', '', 'g'), '(?s)<.*?>', ' ', 'g'), '&nbsp;', ' '), '  ', ' '), '  ', ' '), E' \n\t\r') as text from pages",
+    "html_text": r"select page_id, trim(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(html, E' \t\n\r'), '(?is)<script.*?>.*?</script>', '', 'g'), '(?is)<style.*?>.*?</style>', '', 'g'), '(?s)<!--.*?-->[\n]?', '', 'g'), '(?s)<.*?>', ' ', 'g'), '&nbsp;', ' '), '  ', ' '), '  ', ' '), E' \n\t\r') as text from pages",
     "url_names": r"select page_id, regexp_extract(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '[^/]*$') as name from pages",
     "dedupe_first": "select sha256(coalesce(text, '')) as key, min(doc_id) as doc_id from documents group by 1", "dup_counts": "select sha256(coalesce(text, '')) as key, count(*) as n from documents group by 1",
     "author_ids": "with f as (select user_id, min((ts, event_id)) as seen from events where user_id is not null group by 1) select user_id, row_number() over (order by seen) - 1 as author_id from f",
     "article_runs": f"with {_RUNS} select event_id, run::bigint as run from runs",
     "comment_ids": f"with {_RUNS}, f as (select run, user_id::varchar as orig, min((ts, event_id)) as seen from runs where user_id is not null group by 1, 2) select run::bigint as run, orig, row_number() over (order by run, seen) - 1 as cid from f",
-    "parent_resolve": f"with recursive {_TURNS}, k as (select * from c where not (cid % 1000 = 2 and cid % 7 = 0)), r as (select cid, 0::bigint as depth from k where parent is null union all select k.cid, depth + 1 from r join k on k.parent = r.cid) select * from r",
+    "parent_resolve": f"with recursive {_TURNS}, r as (select cid, 0::bigint as depth from c where parent is null union all select c.cid, depth + 1 from r join c on c.parent = r.cid) select * from r",
     "cosine": f"select vec_id, round(list_cosine_similarity(embedding::double[], {_VECTOR}), 9) as cosine from embeddings", "euclid": f"select vec_id, round(list_distance(embedding::double[], {_VECTOR}), 9) as distance from embeddings",
     "sha256": "select event_id, sha256(props) as sha from events", "int_parse": "select page_id, coalesce(try_cast(regexp_extract(url, '([^/]*)$', 1) as bigint), -1) as number from pages",
     "phrase_in_tokens": f"with {_TOKENS} select cid, coalesce(list_contains(list_transform(range(1, len(toks)), lambda i: toks[i] = 'of' and toks[i + 1] = 'the'), true), false) as has from tok",

@@ -3,11 +3,11 @@
 import re
 from dataclasses import dataclass
 
-_WS = r"[^\S\n]*"
+_WS = r"[^\S\n\r]*"
 _PHRASE = rf"'\w+(?:{_WS}\w+)*'"
 _OPERAND = rf"(?:[\w*:]+|{_PHRASE})"
 BOOLEAN = re.compile(rf"(?:{_OPERAND}{_WS}(?:NOT|OR|AND){_WS}{_OPERAND})+")
-PHRASE = re.compile(_PHRASE)
+PHRASE = re.compile(rf"{_WS}{_PHRASE}{_WS}")
 PREFIX = re.compile(rf"{_WS}\w+\*{_WS}")
 OPERATORS = ("NOT", "AND", "OR")
 
@@ -25,17 +25,8 @@ class Query:
 
 
 def split_operators(text: str) -> list[str]:
-    """Operands and operators in order, found as substrings: NOT first, then AND, then OR."""
-
-    def part(s: str, level: int) -> list[str]:
-        if level == len(OPERATORS):
-            return [s.strip()]
-        out: list[str] = []
-        for i, x in enumerate(s.split(OPERATORS[level])):
-            out += ([OPERATORS[level]] if i else []) + part(x, level + 1)
-        return out
-
-    return part(text, 0)
+    """Operands and operators in order. Operators are found as substrings, and none of them can overlap another."""
+    return [x.strip() for x in re.split(f"({'|'.join(OPERATORS)})", text)]
 
 
 def parse(text: str) -> Query:
