@@ -11,7 +11,7 @@ Width and number of pieces follow from the sample and from the number of vectors
 width there is a least number of tables in which RECALL of them meet; of these pairs that one is taken which costs least, where
 unlinked pairs of the sample tell how many candidates a table brings. So the width grows with the logarithm of the table's
 size, few vectors share one bucket, and low dimensions and crowded directions are allowed for. What was chosen is then tried on the partners, and
-tables are added until RECALL is met. The radius leaves out one partner in a thousand.
+tables are added until RECALL is met. Partners count as at least as far apart as random cuts would make them. The radius leaves out one partner in a thousand.
 
 Equal vectors are one node with a weight. Groups of near copies aren't listed as pairs: each pair of pieces names a small bucket, in
 which vectors are compared with one leader; what links so is joined, and those within half of the linking
@@ -64,7 +64,9 @@ class Itq:
         i, j = (k[(x[i] * x[j]).sum(1) < least] for k in (i, j))
         self._grow(64)
         apart = lambda y, z: (self._on(y) != self._on(z)).mean(1)
-        self.width, self.tables = self._cheapest(apart(a, b), apart(x[i], x[j]), count) if len(a) else (0, 1)
+        # Bits fitted to few vectors hold these apart too well: partners count as at least as far as random cuts would make them.
+        cuts = math.acos(least) / math.pi
+        self.width, self.tables = self._cheapest(np.maximum(apart(a, b), cuts), apart(x[i], x[j]), count) if len(a) else (0, 1)
         while self.width and self._met(a, b) < RECALL:
             if self.tables >= MOST_TABLES:  # shorter pieces meet more often, and one of no bits always
                 self.width, self.tables = self.width - 1, max(1, self.tables // 2)
@@ -73,7 +75,7 @@ class Itq:
         self._grow(max(64, self.tables * self.width))
         self.project = self.project[:, : max(64, self.tables * self.width)]
         near = np.bitwise_count(self.codes(a)[0] ^ self.codes(b)[0])
-        self.radius = int(np.quantile(near, 0.999)) + 1 if len(a) else 64
+        self.radius = max(int(np.quantile(near, 0.999)) + 1, math.ceil(64 * cuts + 3.3 * (64 * cuts * (1 - cuts)) ** 0.5)) if len(a) else 64
         del self.x, self.main, self.rng
 
     def _rotation(self, rounds: int) -> np.ndarray:
