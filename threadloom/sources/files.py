@@ -51,7 +51,7 @@ def read_legacy(spark: SparkSession, path: str, version: int, with_file: bool =
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_comments(comments: DataFrame, path: str) -> None:
