@@ -50,15 +50,23 @@ class Analyzer:
         """rows with array<struct<term, pos>> of a text. Stages are columns of their own, so each is evaluated once."""
         rows = rows.withColumn(name, positioned(self.tokens(F.col(text)), self.stopwords))
         if self.stemmer:
-            stem = STEMMERS[self.stemmer] if isinstance(self.stemmer, str) else self.stemmer
-            rows = rows.withColumn(name, with_terms(F.col(name), mapped(F.col(f"{name}.term"), stem)))
+            rows = rows.withColumn(name, with_terms(F.col(name), mapped(F.col(f"{name}.term"), self.stem)))
         return rows.withColumn(name, self.stepped(F.col(name)))
 
     def terms_of(self, spark: SparkSession, text: str, plain: bool = False) -> list[str]:
-        """A query's terms: the same expressions over one literal row."""
-        row = spark.range(1).select(F.lit(text).alias("text"))
-        words = row.select(self.plain(F.col("text"))).first()[0] if plain else self.placed(row).select("placed.term").first()[0]
-        return words if plain else [t for t in words if t]
+        """A query's terms: the same expressions over a local row, which the optimizer evaluates without a job."""
+        row = spark.sql("select * from values (:text) as t(text)", args={"text": text})
+        if plain:
+            return row.select(self.plain(F.col("text"))).first()[0]
+        if self.steps != (without_comments,):
+            return [t for t in self.placed(row).select("placed.term").first()[0] if t]
+        words = [x["term"] for x in row.select(positioned(self.tokens(F.col("text")), self.stopwords)).first()[0]]
+        terms = map(self.stem, words) if self.stemmer else words
+        return [t for t in terms if t and not t.startswith("//")]
+
+    @property
+    def stem(self) -> Callable[[str], str]:
+        return STEMMERS[self.stemmer] if isinstance(self.stemmer, str) else self.stemmer
 
 
 SIMPLE, TREEBANK = Analyzer(), Analyzer(treebank_tokens, stemmer="porter")
