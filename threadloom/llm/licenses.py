@@ -154,13 +154,40 @@ def scan(docs: DataFrame) -> DataFrame:
     found = {f"t{j}": _starts(t.key, t.rare) for j, t in enumerate(index)} | {f"b{j}": F.transform(_starts(p, 0), lambda i: i.cast("bigint")) for j, p in enumerate(base)}
     docs = docs.select("doc_id", "n_words", "hits", *(s.alias(c) for c, s in found.items()))
     docs = docs.select("*", *(_share(f"t{j}", t).alias(f"s{j}") for j, t in enumerate(index)))
-    labels = [F.when(F.col(f"s{j}") >= SHARE, F.lit(t.label)) for j, t in enumerate(index)]
+    labels = [F.when(F.round(f"s{j}", 9) >= SHARE, F.lit(t.label)) for j, t in enumerate(index)]
     base_labels = [F.when(F.size(f"b{j}") > 0, F.lit(label)) for j, label in enumerate(BASE)]
     scores = [F.col(f"s{j}") for j in range(len(index))] + [F.when(F.size(f"b{j}") > 0, 1.0).otherwise(0.0) for j in range(len(BASE))]
     places = F.concat(*(F.col(f"b{j}") for j in range(len(BASE))))
     joined = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*xs)))), ",")
-    return docs.select("doc_id", "n_words", F.size(places).cast("bigint").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), joined(base_labels).alias("base_labels"), joined([*base_labels, *labels]).alias("labels"), F.greatest(*scores).alias("score"))
+    return docs.select("doc_id", "n_words", F.size(places).cast("bigint").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), joined(base_labels).alias("base_labels"), joined([*base_labels, *labels]).alias("labels"), F.round(F.greatest(*scores), 9).alias("score"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _sql() -> str:
+    """The same by definition: every place of every key phrase, and every posting of its template looked up around its place."""
+    words = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    index = build_index()
+    templates = ",\n".join(f"({j}, '{t.label}', {words(t.key)}, {t.at}, {t.slack}, {t.total!r}::double, [{', '.join(f'{{w: {w!r}, i: {i}, v: {v!r}::double}}' for w, i, v in t.postings)}])" for j, t in enumerate(index))
+    base = ", ".join(f"('{k}', {words(words_of(p))})" for k, p in BASE.items())
+    at = "list_filter(range(1, len(w) - len(key) + 2), lambda i: w[i:i + len(key) - 1] = key)"
+    return rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') as w from documents),
+b(label, key) as (values {base}),
+t(j, label, key, key_at, slack, total, p) as (values {templates}),
+found as (select doc_id, label, unnest({at}) - 1 as i from d, b where list_has_all(w, key)),
+of_base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_distinct(list(label)) as ls from found group by doc_id),
+begins as (select doc_id, w, label, p, slack, total, unnest({at}) - key_at as lo from d, t where list_has_all(w, key)),
+shares as (select doc_id, label, list_sum(list_transform(p, lambda x: case when lo + x.i + slack >= 1 and list_contains(w[greatest(1, lo + x.i - slack):lo + x.i + slack], x.w) then x.v else 0.0 end)) / total as share from begins),
+of_templates as (select doc_id, max(share) as best, list_distinct(list(label) filter (where round(share, 9) >= {SHARE})) as ls from shares group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(array_to_string(list_sort(a.ls), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(a.ls, []), coalesce(c.ls, [])))), ','), '') as labels,
+  round(greatest(coalesce(best, 0.0), case when n_base > 0 then 1.0 else 0.0 end), 9) as score
+from d left join of_base a using (doc_id) left join of_templates c using (doc_id)
+"""
+
+
+OP10_SQL = _sql()
