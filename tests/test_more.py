@@ -211,6 +211,11 @@ def test_crawl_to_comment_files(spark, tmp_path):
     assert sorted(by_id) == list(range(13)) and got["old o1"]["comment_author"] == "u1" and got[" text b3 "]["comment_author"] == "ub"
 
 
+def test_sitemap(spark, tmp_path):
+    (tmp_path / "s.xml").write_text("<urlset>\n<url><loc>\nhttp://a/?x=1&amp;y=2 </loc></url><url><loc>http://b</loc></url><url><loc>http://b</loc></url></urlset>")
+    assert sorted(r["url"] for r in api.read_sitemap(spark, str(tmp_path)).collect()) == ["http://a/?x=1&y=2", "http://b"]
+
+
 def test_comment_api_as_a_data_source(spark, tmp_path, monkeypatch):
     (tmp_path / "fetchers_for_test.py").write_text('def one(request):\n    return {"entries": [], "hasMoreChildren": "false", "asked": request}\n')
     spark.sparkContext.addPyFile(str(tmp_path / "fetchers_for_test.py"))

@@ -19,7 +19,7 @@ STOPWORDS = (
 ).split()
 
 SIMPLE_TOKEN = r"[\p{L}\p{N}_]+"
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def simple_tokens(text: Column) -> Column:
@@ -27,6 +27,14 @@ def simple_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(SIMPLE_TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+#: The published Treebank rules, in their order.
+TREEBANK_RULES = [
+    (r'^"', "`` "), (r'([ (\[{<])"', "$1 `` "), (r"\.\.\.", " ... "), (r"([:,])([^\d])", " $1 $2"), (r"([:,])$", " $1 "), (r"([;@#$%&?!])", " $1 "),
+    (r'([^\.])(\.)([\])}>"\']*)\s*$', "$1 $2$3 "), (r"([^\.\s])\.(\s+\p{Lu})", "$1 . $2"), (r"([\]\[(){}<>])", " $1 "), (r"--", " -- "), (r'"', " '' "), (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "), (r"(?i)\b(can)(not)\b", " $1 $2 "), (r"(?i)\b(gon|wan)(na)\b", " $1 $2 "), (r"(?i)\b(got)(ta)\b", " $1 $2 "),
+]
+
+
 def treebank_tokens(text: Column) -> Column:
     """array<string>: tokens by the published Treebank rules, lower-cased and cleaned.
 
@@ -35,15 +43,10 @@ def treebank_tokens(text: Column) -> Column:
     it ends the text or stands before a blank and a capital.
     """
     t = F.coalesce(text, F.lit(""))
-    rules = [
-        (r'^"', "`` "), (r'([ (\[{<])"', "$1 `` "), (r"\.\.\.", " ... "), (r"([:,])([^\d])", " $1 $2"), (r"([:,])$", " $1 "), (r"([;@#$%&?!])", " $1 "),
-        (r'([^\.])(\.)([\])}>"\']*)\s*$', "$1 $2$3 "), (r"([^\.\s])\.(\s+\p{Lu})", "$1 . $2"), (r"([\]\[(){}<>])", " $1 "), (r"--", " -- "), (r'"', " '' "), (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
-        (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "), (r"(?i)\b(can)(not)\b", " $1 $2 "), (r"(?i)\b(gon|wan)(na)\b", " $1 $2 "), (r"(?i)\b(got)(ta)\b", " $1 $2 "),
-    ]
     t = F.concat(F.lit(""), t, F.lit(" "))
-    for pattern, to in rules:
+    for pattern, to in TREEBANK_RULES:
         t = F.regexp_replace(t, pattern, to)
-    words = F.filter(F.split(F.lower(F.trim(t)), r"\s+"), lambda w: (w != "") & ~F.contains(F.lit(_PUNCTUATION), w))
+    words = F.filter(F.split(F.lower(F.trim(t)), r"\s+"), lambda w: (w != "") & ~F.contains(F.lit(PUNCTUATION), w))
     return F.transform(words, lambda w: F.regexp_replace(F.when(w == "n't", F.lit("not")).otherwise(w), "^-|-$|'", ""))
 
 

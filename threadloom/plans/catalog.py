@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.porter import stems
-from threadloom.functions.text import STOPWORDS, contains_sequence, html_strip, int_or, simple_tokens, treebank_tokens, url_basename
+from threadloom.functions.text import PUNCTUATION, STOPWORDS, TREEBANK_RULES, contains_sequence, html_strip, int_or, simple_tokens, treebank_tokens, url_basename
 from threadloom.operators import etl
 from threadloom.operators.index import Index, build, from_gap_blocks, gap_blocks, gaps
 from threadloom.operators.search import SearchEngine
@@ -225,6 +225,16 @@ _KEYS = lambda *w: (f"term in ({', '.join(repr(x) for x in w)})", f"idf / {len(w
 _PREFIX = ("starts_with(term, 'thtion')", "idf / (select count(*) from terms where starts_with(term, 'thtion'))", "term")
 _RUNS = "e as (select *, lag(event_type) over (order by ts, event_id) as last, row_number() over (order by ts, event_id) as rn from events), runs as (select *, sum(case when rn > 1 and event_type is distinct from last then 1 else 0 end) over (order by ts, event_id) as run from e)"
 _VECTOR = "[" + ", ".join(f"{v!r}::double" for v in _QUERY_VECTOR) + "]"
+_QUOTED = lambda s: "'" + s.replace("'", "''") + "'"
+
+
+def _treebank_sql() -> str:
+    t = "coalesce(text, '') || ' '"
+    for pattern, to in TREEBANK_RULES:
+        t = f"regexp_replace({t}, {_QUOTED(pattern)}, {_QUOTED(to.replace('$', chr(92)))}, 'g')"
+    return f"select doc_id as cid, len(list_filter(string_split_regex(lower(trim({t})), '\\s+'), lambda w: w <> '' and not contains({_QUOTED(PUNCTUATION)}, w)))::bigint as n from documents"
+
+
 _TURNS = "c as (select conv_id * 1000 + turn as cid, case when turn > 0 then conv_id * 1000 + turn - 1 end as parent, text from conversations)"
 
 ORACLES = {
@@ -249,6 +259,7 @@ ORACLES = {
     "article_runs": f"with {_RUNS} select event_id, run::bigint as run from runs",
     "comment_ids": f"with {_RUNS}, f as (select run, user_id::varchar as orig, min((ts, event_id)) as seen from runs where user_id is not null group by 1, 2) select run::bigint as run, orig, row_number() over (order by run, seen) - 1 as cid from f",
     "parent_resolve": f"with recursive {_TURNS}, r as (select cid, 0::bigint as depth from c where parent is null union all select c.cid, depth + 1 from r join c on c.parent = r.cid) select * from r",
+    "treebank_counts": _treebank_sql(),
     "cosine": f"select vec_id, round(list_cosine_similarity(embedding::double[], {_VECTOR}), 9) as cosine from embeddings", "euclid": f"select vec_id, round(list_distance(embedding::double[], {_VECTOR}), 9) as distance from embeddings",
     "sha256": "select event_id, sha256(props) as sha from events", "int_parse": "select page_id, coalesce(try_cast(regexp_extract(url, '([^/]*)$', 1) as bigint), -1) as number from pages",
     "phrase_in_tokens": f"with {_TOKENS} select cid, coalesce(list_contains(list_transform(range(1, len(toks)), lambda i: toks[i] = 'of' and toks[i + 1] = 'the'), true), false) as has from tok",

@@ -98,6 +98,12 @@ def fetch_pages(spark: SparkSession, api: str, urls: list[str], fetch: str) -> D
     return spark.read.format("comment_api").option("api", api).option("urls", json.dumps(urls)).option("fetch", fetch).load()
 
 
+def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """url: the pages that sitemap files name, once each."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url")).select(F.replace("url", F.lit("&amp;"), F.lit("&")).alias("url")).distinct()
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored responses: objects of url, page, parent and body (a JSON text), one a line."""
     return spark.read.schema(PAGES).json(path)
