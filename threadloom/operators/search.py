@@ -35,8 +35,8 @@ class SearchEngine:
     def __exit__(self, *error) -> None:
         self.close()
 
-    def search(self, query: str, ids_only: bool = True, top_k: int | None = 10, keep: Column | None = None) -> DataFrame:
-        """top_k: None or 0 for all; only keyword and prefix queries take it. keep: a condition on cid that ranked documents must meet."""
+    def search(self, query: str, ids_only: bool = True, top_k: int | None = 10, keep: Column | DataFrame | None = None) -> DataFrame:
+        """top_k: None or 0 for all; only keyword and prefix queries take it. keep: a condition on cid that ranked documents must meet, or a table of their cid."""
         _checked(top_k)
         q = parse(query)
         if q.kind == "keyword":
@@ -87,10 +87,10 @@ class SearchEngine:
     def _none(self) -> DataFrame:
         return self.index.docs.select("cid").where(F.lit(False))
 
-    def _ranked(self, weights: DataFrame, norm: Column, top_k: int | None, keep: Column | None = None) -> DataFrame:
+    def _ranked(self, weights: DataFrame, norm: Column, top_k: int | None, keep: Column | DataFrame | None = None) -> DataFrame:
         """weights: cid, wd, wq, ord of each matching query term. Score: cosine over the query's terms."""
         if keep is not None:
-            weights = weights.where(keep)
+            weights = weights.join(keep.select("cid"), "cid", "left_semi") if isinstance(keep, DataFrame) else weights.where(keep)
         sums = weights.groupBy("cid").agg(F.sum(F.col("wd") * F.col("wq")).alias("dot"), F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"), F.min("ord").alias("first"))
         hits = sums.select("cid", (F.col("dot") / (F.col("nd") * norm)).alias("score"), "first")
         order = [F.desc(F.round("score", 12)), F.asc("first"), F.asc("cid")]
@@ -111,7 +111,7 @@ class SearchEngine:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "cid"))
         return scored.withColumn("rank", place).where(F.col("rank") <= top_k).select("query_id", "cid")
 
-    def keyword(self, terms: list[str], top_k: int | None, keep: Column | None = None) -> DataFrame:
+    def keyword(self, terms: list[str], top_k: int | None, keep: Column | DataFrame | None = None) -> DataFrame:
         if not terms:
             return self._none()
         bag = Counter(terms)
@@ -125,7 +125,7 @@ class SearchEngine:
         norm = sum(w * w for w in weight.values()) ** 0.5
         return self._ranked(got.select("cid", (F.col("tf") * F.col("idf")).alias("wd"), "wq", "ord"), F.lit(norm), top_k, keep)
 
-    def prefix(self, prefix: str, top_k: int | None, keep: Column | None = None) -> DataFrame:
+    def prefix(self, prefix: str, top_k: int | None, keep: Column | DataFrame | None = None) -> DataFrame:
         """Terms that begin with the prefix as it is written; each counts once, in order of term."""
         terms = self.index.terms.where(F.col("term").startswith(prefix)).select("term", "idf")
         n = terms.agg(F.count("*").alias("n")).scalar()

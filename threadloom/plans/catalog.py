@@ -11,7 +11,9 @@ from threadloom.functions.text import PUNCTUATION, STOPWORDS, TREEBANK_RULES, co
 from threadloom.operators import etl
 from threadloom.operators.index import Index, build, from_gap_blocks, gap_blocks, gaps
 from threadloom.operators.search import SearchEngine
+from threadloom.sources import files
 from threadloom.storage import shared_dir
+from threadloom.streaming import incremental
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 _TOKENS = rf"""
@@ -178,6 +180,58 @@ def parent_resolve(spark: SparkSession, d: str) -> DataFrame:
     return etl.resolved_parents(rows).select(F.col("seq").alias("cid"), F.col("depth").cast("bigint").alias("depth"))
 
 
+def comment_files(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as crawled records: an article each, turns by their role's author, each answering the one before."""
+    c = _table(spark, d, "conversations")
+    turn = lambda x: x.cast("string")
+    records = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), turn(F.col("conv_id")).alias("article_id"), F.lit("u").alias("article_url"), turn(F.col("turn")).alias("comment_id"), F.col("role").alias("comment_author"), F.col("text").alias("comment_text"), F.lit("t").alias("timestamp"), F.when(F.col("turn") > 0, turn(F.col("turn") - 1)).alias("parent_comment_id"), F.lit(0).alias("upvotes"), F.lit(0).alias("downvotes"))
+    return etl.comment_tables(records)["comments"].select("seq", "cid", "article_id", "author_id", "parent")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def file_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as a comment file and read again."""
+    at, none = _scratch(spark, "comments"), F.lit(None).cast("string")
+    docs = _table(spark, d, "documents")
+    files.write_comments(docs.select(F.col("doc_id").alias("cid"), F.lit(0).alias("article_id"), F.lit(0).alias("author_id"), "text", F.lit("t").alias("time"), none.alias("parent"), F.lit(1).alias("upvotes"), F.lit(0).alias("downvotes")), at)
+    return files.read_comments(spark, at).select(F.col("commentId").alias("cid"), F.sha2(F.coalesce("comment_text", F.lit("")), 256).alias("text_sha"))
+
+
+def nul_filter(spark: SparkSession, d: str) -> DataFrame:
+    return etl.without_nul(_docs(spark, d), "text").select("cid")
+
+
+def old_api(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as entries of the older API: each stands under the page of its host's root."""
+    root = F.regexp_extract("url", "^(.*/)[^/]*$", 1)
+    targets = F.array(F.struct(F.lit(None).cast("string").alias("conversationID")), F.struct(F.concat(root, F.lit("root")).alias("conversationID")))
+    object_ = F.struct(F.col("url").alias("id"), F.col("html").alias("content"), F.lit("t").alias("published"), F.struct(F.col("page_id").alias("likesCount")).alias("accumulators"))
+    entries = _table(spark, d, "pages").select("page_id", object_.alias("object"), F.struct(F.col("url").alias("title")).alias("actor"), targets.alias("targets"))
+    return etl.old_api_rows(entries, ["page_id"]).select("page_id", "comment_id", "parent_comment_id", "upvotes", "downvotes")
+
+
+def keyword_good(spark: SparkSession, d: str) -> DataFrame:
+    """The best hits among documents that labels call good."""
+    good = _table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("cid"))
+    return _engine(spark, d).search("pathetic worthless scum", top_k=10, keep=good).select("rank", "cid", F.round("score", 9).alias("score"))
+
+
+def retrieve(spark: SparkSession, d: str) -> DataFrame:
+    got = _index(spark, d).retrieve("pathetic")
+    return got.select("cid", F.round("tf", 12).alias("tf"), F.round("idf", 9).alias("idf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def streamed_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of an index that a stream of documents built."""
+    at = _scratch(spark, "grown")
+    stream = spark.readStream.schema(_table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d).select(F.col("doc_id").alias("cid"), "text")
+    incremental.grow(stream, f"{at}/index", f"{at}/checkpoint").awaitTermination()
+    return incremental.grown(spark, f"{at}/index").postings.select("term", "cid", F.round("tf", 12).alias("tf"))
+
+
 _QUERY_VECTOR = [0.1 * ((i % 7) - 3) for i in range(64)]
 
 
@@ -219,7 +273,7 @@ QUERIES = {
     "prefix_topk": partial(_ranked, "thtion*", 20), "phrase": partial(_ids, "'the er'"), "phrase_terms": partial(_ids, "'license version 2'"),
     "bool_and": partial(_ids, "pathetic AND scum"), "bool_or": partial(_ids, "pathetic OR scum OR moron"), "bool_not": partial(_ids, "pathetic NOT scum"),
     "bool_empty_operand": partial(_ids, "pathetic AND zzzzzz"), "bool_prefix": partial(_ids, "thtion* NOT pathetic"), "query_error": partial(_ids, "NOT pathetic"),
-} | {f.__name__: f for f in (keyword_text, search_batch, postings, terms_idf, doc_stats, distinct_terms, tfidf_lookup, posting_gaps, posting_ids, parents, reply_index, reply_to, html_text, url_names, dedupe_first, dup_counts, author_ids, article_runs, comment_ids, parent_resolve, cosine, euclid, sha256, int_parse, phrase_in_tokens, stem_vocabulary, treebank_counts)}
+} | {f.__name__: f for f in (keyword_text, search_batch, postings, terms_idf, doc_stats, distinct_terms, tfidf_lookup, posting_gaps, posting_ids, parents, reply_index, reply_to, html_text, url_names, dedupe_first, dup_counts, author_ids, article_runs, comment_ids, parent_resolve, comment_files, file_round_trip, nul_filter, old_api, keyword_good, retrieve, streamed_postings, cosine, euclid, sha256, int_parse, phrase_in_tokens, stem_vocabulary, treebank_counts)}
 
 _KEYS = lambda *w: (f"term in ({', '.join(repr(x) for x in w)})", f"idf / {len(w)}", "case term " + " ".join(f"when '{x}' then {i}" for i, x in enumerate(w)) + " end")
 _PREFIX = ("starts_with(term, 'thtion')", "idf / (select count(*) from terms where starts_with(term, 'thtion'))", "term")
@@ -260,6 +314,13 @@ ORACLES = {
     "comment_ids": f"with {_RUNS}, f as (select run, user_id::varchar as orig, min((ts, event_id)) as seen from runs where user_id is not null group by 1, 2) select run::bigint as run, orig, row_number() over (order by run, seen) - 1 as cid from f",
     "parent_resolve": f"with recursive {_TURNS}, r as (select cid, 0::bigint as depth from c where parent is null union all select c.cid, depth + 1 from r join c on c.parent = r.cid) select * from r",
     "treebank_counts": _treebank_sql(),
+    "comment_files": """with t as (select conv_id * 1000 + turn as seq, conv_id, turn, role from conversations), a as (select role, row_number() over (order by min(seq)) - 1 as author_id from t group by role)
+select seq, row_number() over (order by seq) - 1 as cid, dense_rank() over (order by conv_id) - 1 as article_id, author_id, case when turn > 0 then row_number() over (order by seq) - 2 end as parent from t join a using (role)""",
+    "file_round_trip": "select doc_id as cid, sha256(coalesce(text, '')) as text_sha from documents", "nul_filter": "select doc_id as cid from documents where not contains(text, chr(0))",
+    "old_api": r"""with n as (select page_id, regexp_extract(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '[^/]*$') as name from pages) select page_id, name as comment_id, nullif('root', name) as parent_comment_id, page_id as upvotes, 0::bigint as downvotes from n""",
+    "keyword_good": _rank_sql(*_KEYS("pathetic", "worthless", "scum"), 10).replace("from post join q using (term) group by cid", "from post join q using (term) where cid in (select doc_id from labels where quality = 1) group by cid"),
+    "retrieve": f"with {_TOKENS} select cid, round(tf, 12) as tf, round(idf, 9) as idf, positions from post join terms using (term) where term = 'pathetic'",
+    "streamed_postings": f"with {_TOKENS} select term, cid, round(tf, 12) as tf from post",
     "cosine": f"select vec_id, round(list_cosine_similarity(embedding::double[], {_VECTOR}), 9) as cosine from embeddings", "euclid": f"select vec_id, round(list_distance(embedding::double[], {_VECTOR}), 9) as distance from embeddings",
     "sha256": "select event_id, sha256(props) as sha from events", "int_parse": "select page_id, coalesce(try_cast(regexp_extract(url, '([^/]*)$', 1) as bigint), -1) as number from pages",
     "phrase_in_tokens": f"with {_TOKENS} select cid, coalesce(list_contains(list_transform(range(1, len(toks)), lambda i: toks[i] = 'of' and toks[i + 1] = 'the'), true), false) as has from tok",
