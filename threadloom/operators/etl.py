@@ -52,8 +52,8 @@ def comment_ids(df: DataFrame, run: str, orig: str, order: list[str], name: str)
 def resolved_parents(comments: DataFrame) -> DataFrame:
     """comments (run, seq, orig_id, orig_parent) whose parents are known: those with no parent, or whose parent stands earlier in their run and is kept itself.
 
-    Works from the roots down until a level is empty, one join and one write to the shared folder a level; rows of a level are only its
-    children, so the work follows the size of the table, and the number of jobs the depth of its threads.
+    Works from the roots down until a level is empty: a level's rows, which are written to the shared folder, are joined with all replies.
+    So the number of jobs, and of times that replies are read, is the depth of the deepest thread.
     """
     level = kept = comments.where("orig_parent is null or orig_parent = ''").withColumn("depth", F.lit(0))
     rest = comments.where("orig_parent is not null and orig_parent <> ''")
@@ -85,14 +85,14 @@ def flatten_threads(nodes: DataFrame) -> DataFrame:
     leaf. Levels are written one by one until one is empty.
     """
     rest = [c for c in nodes.columns if c not in ("node", "path", "parent")]
-    level, out = nodes.select(*rest, "node", "path", "parent"), None
-    while out is None or not level.isEmpty():
-        n = F.col("n")
+    level, out, n = nodes.select(*rest, "node", "path", "parent"), None, F.col("n")
+    while True:
         level = cut(level.withColumn("n", F.from_json("node", NODE)).drop("node"))
+        if out is not None and level.isEmpty():
+            return out
         row = level.select(*rest, "path", n["id"].alias("comment_id"), n["user"]["username"].alias("comment_author"), n["body"].alias("comment_text"), n["created_at"].alias("timestamp"), F.col("parent").alias("parent_comment_id"), vote_count(n["action_summaries"]).cast("bigint").alias("upvotes"), F.lit(0).cast("bigint").alias("downvotes"))
         out = row if out is None else out.unionByName(row)
         level = level.select(*rest, "path", n["id"].alias("parent"), F.posexplode(n["replies"]["nodes"]).alias("i", "node")).select(*rest, "node", F.concat("path", F.array(F.col("i").cast("bigint"))).alias("path"), "parent")
-    return out
 
 
 def count_threads(nodes: DataFrame, by: list[str]) -> DataFrame:
