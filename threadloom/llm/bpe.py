@@ -17,6 +17,7 @@ Defined cases: a null text counts as empty; empty texts have no tokens (digests
 strings in a text become their ids, as in the library's default; repeated rows each get their own result.
 """
 
+import gc
 import hashlib
 import json
 import re
@@ -191,13 +192,6 @@ class Encoder:
         return b"".join(np.array([self.specials[p]], "<u4").tobytes() if p in self.specials else self._plain(p) for p in self.cut.split(text))
 
 
-    def forget(self) -> None:
-        """At a task's end: the automaton stays with the worker, what it encoded doesn't."""
-        for cache in (self.chunks, self.words, self.far):
-            cache.forget()
-        give_back()
-
-
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -209,6 +203,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """At a task's end. An automaton is built in a third of a second, and its worker may have other work next."""
+    encoder.cache_clear()
+    gc.collect()
+    give_back()
+
+
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -223,7 +224,8 @@ def encoded(text: Column, path: str | None = None) -> Column:
             del ids
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, "<i4")))
             del flat
-        e.forget()
+        del e
+        forget()
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -252,7 +254,8 @@ def round_trip(text: Column, path: str | None = None) -> Column:
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(e.automaton.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
-        e.forget()
+        del e
+        forget()
 
     return F.arrow_udf(run, SCHEMA)(text)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordCache
+from threadloom.llm.common import WordCache, give_back
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -162,6 +162,12 @@ class Crf:
             self.kept = WordCache(shape, 50_000), WordCache(self.outside, 50_000)
         return self.kept
 
+    def forget(self) -> None:
+        """At a task's end."""
+        for cache in self.__dict__.pop("kept", ()):
+            cache.forget()
+        give_back()
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "kept"}
 
@@ -363,6 +369,7 @@ def find_secrets(text: Column, crf: Crf) -> Column:
                 base = _spoken(x for x in spans if x[2] < 3)
                 rows.append({"n_assign": kinds.count(0), "n_access": kinds.count(1), "n_hex": kinds.count(2), "base_sha256": hashlib.sha256(base.encode()).hexdigest(), "spans": _spoken(spans), "n_crf": kinds.count(3)})
             yield pa.array(rows, pa.struct([(n, pa.int64() if n.startswith("n_") else pa.string()) for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")]))
+        crf.forget()
 
     return F.arrow_udf(run, SCHEMA)(text)
 
@@ -371,6 +378,7 @@ def redacted(text: Column, crf: Crf) -> Column:
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in arrays:
             yield pa.array([redact(t.as_py(), crf) for t in a], pa.string())
+        crf.forget()
 
     return F.arrow_udf(run, "string")(text)
 
