@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordCache, cut, give_back, packed, small_side
+from threadloom.llm.common import cut, give_back, packed, small_side
 from threadloom.llm.graph import components
 
 SHINGLE, PERCENT = 2, 80
@@ -46,16 +46,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-def _word_hashes() -> WordCache:
-    return WordCache(xxhash.xxh3_64_intdigest)
-
-
-def shingles(text: str | None, width: int, hashes: WordCache) -> np.ndarray:
+def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles. Words are lower-cased in A-Z only, as bytes.lower() does."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(width, len(h))
     out = np.full(len(h) - width + 1, len(words) if len(words) < width else 0, np.uint64)
     for i in range(width):
@@ -76,11 +72,11 @@ def sketched(text: Column, width: int = SHINGLE, tables: int = TABLES, rows: int
     """A struct (SKETCH): the size of a text's set, its digest, and the half keys of both collections, and the parity map of its set."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes, seeds = _word_hashes(), _seeds(2 * tables * rows)
+        seeds = _seeds(2 * tables * rows)
         for part in arrays:
             n, hi, lo, keys, low = [], [], [], [], []
             for t in part:
-                s = shingles(t.as_py(), width, hashes)
+                s = shingles(t.as_py(), width)
                 n.append(len(s))
                 digest = _digest(s)
                 hi.append(digest[0]), lo.append(digest[1])
@@ -123,9 +119,8 @@ def shingle_set(text: Column, width: int = SHINGLE) -> Column:
     """A struct (SET): the sorted set, and its digest."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = _word_hashes()
         for part in arrays:
-            sets = [shingles(t.as_py(), width, hashes).view(np.int64) for t in part]
+            sets = [shingles(t.as_py(), width).view(np.int64) for t in part]
             hi, lo = zip(*map(_digest, sets)) if sets else ((), ())
             held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
             del sets
