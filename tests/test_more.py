@@ -95,7 +95,7 @@ def test_ranked_documents_can_be_filtered(spark, simple):
 
 
 def test_phrase_with_blanks_and_repeated_ids(spark):
-    assert parse(" 'german chancellor' ").kind == "phrase" and parse("'a\rb'").kind == "keyword" and parse("a\rAND b").kind == "error"
+    assert parse(" 'green valley' ").kind == "phrase" and parse("'a\rb'").kind == "keyword" and parse("a\rAND b").kind == "error"
     rows = [(1, "old red fox"), (1, "the red fox is a fox"), (2, "red and fox"), (3, "fox red")]
     e = SearchEngine(build(spark.createDataFrame(rows, "cid long, text string")))
     assert ids(e.search("'red fox'")) == ids(e.search("  'red fox' ")) == [1]
@@ -228,16 +228,16 @@ def test_comment_tables_golden(spark):
     """Four articles of four comments; comments 3 and 4 answer comment 2. Beside them: an orphan, what hangs on it, and empty ids."""
     rows, seq = [], 0
     for i in range(4):
-        for k, author in ((1, "User1"), (2, "User2"), (3, "User1"), (4, f"User3{i}")):
-            rows.append((seq, f"original{i}", f"url{i}", f"id{k}{i}", author, "The comment", "date", None if k < 3 else f"id2{i}", 2, 1))
+        for k, author in ((1, "ann"), (2, "bob"), (3, "ann"), (4, f"guest{i}")):
+            rows.append((seq, f"art{i}", f"http://a/{i}", f"c{k}-{i}", author, "words", "noon", None if k < 3 else f"c2-{i}", 5, 3))
             seq += 1
-    extra = [(16, "original3", "url3", "x1", "Ghost", "orphan", "d", "unknown", 0, 0), (17, "original3", "url3", "x2", "Ghost", "child", "d", "x1", 0, 0), (18, "original0", "url0", "id10", "User2", "again", "d", None, 0, 0), (19, "original0", "url0", "", "User2", "no id", "d", None, 0, 0)]
+    extra = [(16, "art3", "http://a/3", "x1", "eve", "orphan", "d", "unknown", 0, 0), (17, "art3", "http://a/3", "x2", "eve", "child", "d", "x1", 0, 0), (18, "art0", "http://a/0", "c1-0", "bob", "again", "d", None, 0, 0), (19, "art0", "http://a/0", "", "bob", "no id", "d", None, 0, 0)]
     t = etl.comment_tables(spark.createDataFrame(rows + extra, "seq long, article_id string, article_url string, comment_id string, comment_author string, comment_text string, timestamp string, parent_comment_id string, upvotes long, downvotes long"))
     comments = sorted(t["comments"].collect(), key=lambda r: r["seq"])
     assert [r["cid"] for r in comments] == [*range(16), 16, None] and [r["article_id"] for r in comments] == [k // 4 for k in range(16)] + [4, 4]
     assert [r["parent"] for r in comments][:8] == [None, None, 1, 1, None, None, 5, 5]
-    assert {r["author"]: r["author_id"] for r in t["authors"].collect()} == {"User1": 0, "User2": 1, "User30": 2, "User31": 3, "User32": 4, "User33": 5, "Ghost": 6}
-    assert {r["article_id"]: r["article_url"] for r in t["articles"].collect()} == {0: "url0", 1: "url1", 2: "url2", 3: "url3", 4: "url0"}
+    assert {r["author"]: r["author_id"] for r in t["authors"].collect()} == {"ann": 0, "bob": 1, "guest0": 2, "guest1": 3, "guest2": 4, "guest3": 5, "eve": 6}
+    assert {r["article_id"]: r["article_url"] for r in t["articles"].collect()} == {0: "http://a/0", 1: "http://a/1", 2: "http://a/2", 3: "http://a/3", 4: "http://a/0"}
     assert sorted(r["cid"] for r in t["comment_ids"].collect()) == list(range(17))
 
 
