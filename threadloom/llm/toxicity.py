@@ -18,7 +18,6 @@ not used; without labels of both kinds every score is 0; an empty table gives no
 """
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,23 +25,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordCache
+from threadloom.llm.common import give_back
 
 SAMPLE_ROWS = 6_000
 HELD_OUT, PARTS = 2, 4
-BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5)
+BUCKET_BITS, DIM, NGRAMS = 17, 8, (3, 4, 5)
+BUCKETS = 1 << BUCKET_BITS
 WINDOW, LARGEST_BATCH, STEPS = 8, 256, 24
 AVERAGE_EPOCHS, WINDOW_EPOCHS, RATE, SEED = 3, 4, 0.3, 5
 THRESHOLD = 0.3
+#: Words that are hashed together, about, and whose logits a task keeps.
+WORDS_AT_ONCE, WORDS_HELD = 50_000, 200_000
 #: A word keeps the digits and symbols within it, by which insults are disguised; longer ones than LONGEST are taken in parts.
 _WORD, LONGEST = re.compile(r"\w(?:\S*\w)?"), 64
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word and its n-grams, with < and > around it."""
-    w = f"<{word}>"
-    parts = {w, *(w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1))}
-    return [zlib.crc32(p.encode()) & (BUCKETS - 1) for p in sorted(parts)]
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and its n-grams, with < and > around it, for all words in a row; and how many each has.
+
+    All characters of all words stand in one array, and grams of one length are hashed together.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    of, at = np.repeat(np.arange(len(words)), lengths), np.arange(len(c))
+    left, inside = ends[of] - at, at - (ends - lengths)[of]
+    power = np.ones(int(lengths.max()), np.uint64)
+    power[1:] = _STEP
+    whole = np.add.reduceat(c * np.cumprod(power)[inside], ends - lengths)
+    hashes, owners = [whole * _SPREAD], [np.arange(len(words))]
+    for n in NGRAMS:
+        i = np.flatnonzero(left >= n)
+        h = np.full(len(i), n, np.uint64)
+        for k in range(n):
+            h = h * _STEP + c[i + k]
+        hashes.append((h ^ (h >> np.uint64(29))) * _SPREAD)
+        owners.append(of[i])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return (np.concatenate(hashes)[order] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -77,8 +103,12 @@ class Model:
         del self.vectors
         return self
 
+    def word_logits(self, words: list[str]) -> np.ndarray:
+        flat, sizes = grams(words)
+        return np.add.reduceat(self.by_bucket[flat].astype(np.float64), np.cumsum(sizes) - sizes) / sizes if words else np.zeros(0)
+
     def logit(self, word: str) -> float:
-        return float(self.by_bucket[grams(word)].mean())
+        return float(self.word_logits([word])[0])
 
     def score(self, logits: np.ndarray) -> float:
         if not self.fitted:
@@ -100,10 +130,10 @@ def train_numbered(docs: list[np.ndarray], vocabulary: list[str], toxic: np.ndar
     model = Model()
     if len(set(toxic.tolist())) < 2:
         return model.freeze()
-    bags = [np.array(grams(w), np.int64) for w in vocabulary]
-    sizes = np.array([len(b) for b in bags])
-    starts, flat = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(bags) if bags else np.zeros(0, np.int64)
-    del bags
+    parts = [grams(vocabulary[i : i + WORDS_AT_ONCE]) for i in range(0, len(vocabulary), WORDS_AT_ONCE)]
+    flat, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    del parts
     rng = np.random.default_rng(SEED)
     g_vec, g_out, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full_like(model.out, 1e-6), np.full(2, 1e-6, np.float32)
     use = np.array([len(d) > 0 for d in docs])
@@ -191,15 +221,27 @@ def scored(text: Column, model: Model, spark: SparkSession) -> Column:
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        if not hasattr(m, "cache"):  # a worker keeps it for its next tasks
-            m.cache = WordCache(m.logit)
-        cache = m.cache
+        known: dict[str, float] = {}
+
+        def scores(texts: list[list[str]]) -> list[float]:
+            new = list({w for t in texts for w in t if w not in known}) if m.fitted else []
+            known.update(zip(new, m.word_logits(new).tolist()))
+            out = [m.score(np.fromiter(map(known.__getitem__, t), np.float64, len(t)) if m.fitted else np.zeros(0)) for t in texts]
+            if len(known) > WORDS_HELD:
+                known.clear()
+            return out
+
         for a in arrays:
-            out = []
+            out, texts, held = [], [], 0
             for t in a:
-                w = words_of(t.as_py())
-                out.append(m.score(np.fromiter(map(cache.__getitem__, w), np.float64, len(w)) if m.fitted else np.zeros(0)))
-            yield pa.array(out, pa.float64())
+                texts.append(words_of(t.as_py()))
+                held += len(texts[-1])
+                if held >= WORDS_AT_ONCE:
+                    out += scores(texts)
+                    texts, held = [], 0
+            yield pa.array(out + scores(texts), pa.float64())
+        known.clear()
+        give_back()
 
     return F.arrow_udf(run, "double")(text)
 
