@@ -159,9 +159,16 @@ def test_crf_alone_finds_what_the_base_patterns_find(spark):
             got = set(secrets.crf_spans(t, [], crf))
             assert values <= got
             found, more = found + len(values), more + len(got - values)
+        more += sum(k == 3 for _, _, k in secrets.scan(t, crf))
     assert found >= 10 and more == 0
 
 
+def test_crf_leaves_short_words_behind_a_secret():
+    crf = secrets.train()
+    for t in ('that token = "4534254f83b7e27b3670756d7cab6da61ccfcea9" to , edth', 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! TIINST!!'):
+        assert [k for _, _, k in secrets.scan(t, crf) if k == 3] == []
+
+
 def test_secrets_of_long_texts_take_linear_time():
     import time
 
