@@ -325,6 +325,62 @@ def test_quality_learns_from_labels_and_keeps_clean_rows(spark):
     assert np.mean([not got[i] for i in unseen if i % 6 == 0]) > 0.9 and all(got[i] for i in unseen if i % 6)
 
 
+def test_quality_uses_every_label(spark):
+    """Rows that tell: good ones with most symbols and bad ones with long words, all of them beyond the 20,000 lowest hashes."""
+    n = 60_000
+    late = [r[0] for r in spark.range(n).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()][25_000:]
+    rng = np.random.default_rng(4)
+    rows = np.stack([np.full(n, 100), rng.integers(480, 520, n), rng.integers(0, 4, n), np.zeros(n), np.zeros(n), np.full(n, 5)], 1).astype(int)
+    good = np.ones(n, int)
+    rich, long, symbols = late[:300], late[300:1500], rng.permutation(n)[:3000]
+    symbols = np.setdiff1d(symbols, late[:1500])
+    rows[symbols, 2], good[symbols] = rng.integers(100, 200, len(symbols)), 0
+    rows[rich, 2] = rng.integers(205, 210, len(rich))
+    rows[long, 1], good[long] = rng.integers(2000, 3000, len(long)), 0
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows.tolist())], "doc_id long, " + ", ".join(f"{c} long" for c in quality.STATS))
+    labels = spark.createDataFrame(list(enumerate(good.tolist())), "doc_id long, quality int")
+    v = quality.fit(common.cut(table), labels)
+    out = v.reject(rows)
+    assert out[long].mean() > 0.9 and out[good == 1].sum() <= 3 * quality.LOSS * good.sum()
+    assert {f.rows for _, f, _ in v.forests} == {v.forests[0][1].rows} and abs(v.forests[0][1].rows - n / 2) < 1000
+    again = quality.fit(table.repartition(7), labels)
+    assert [t for _, _, t in again.forests] == [t for _, _, t in v.forests]
+
+
+def test_quality_thresholds_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 50, 4000, 9000):
+        good, bad = rng.integers(0, 1000, n) / 1000, rng.integers(900, 1100, 400) / 1000
+        want = min((t for t in bad if (good >= t).sum() <= quality.LOSS * n and (good >= t).sum() * quality.GAIN <= (bad >= t).sum()), default=np.inf)
+        gone = quality.lost(np.sort(good), bad)
+        assert quality.threshold(n, [(g, int((gone == g).sum()), bad[gone == g].min()) for g in set(gone.tolist())]) == want
+    rows = np.stack([np.full(5000, 50), rng.integers(200, 300, 5000), rng.integers(0, 40, 5000), rng.integers(0, 3, 5000), rng.integers(0, 10, 5000), np.full(5000, 9)], 1)
+    good = rng.random(5000) < 0.8
+    rows[~good, 2] += rng.integers(0, 60, (~good).sum())
+    forests = quality.Verdict(rows, good.astype(int)).forests
+    table = spark.createDataFrame([(int(g), *r) for g, r in zip(good, rows.tolist())], "quality int, " + ", ".join(f"{c} long" for c in quality.STATS))
+    got = quality.thresholds([f for _, f, _ in forests], table, int(good.sum()))
+    for (_, forest, _), x, t in zip(forests, quality.features(rows).values(), got):
+        s = forest.score(x)
+        g, b = s[good], s[~good]
+        assert t == min((u for u in b if (g >= u).sum() <= quality.LOSS * len(g) and (g >= u).sum() * quality.GAIN <= (b >= u).sum()), default=np.inf)
+    assert np.isfinite(got[0])
+
+
+def test_quality_deals_each_row_to_a_tree(spark):
+    for n in (1, 3, 400, 20_000):
+        table = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(quality.TREES)).alias("first"), *(F.col("id").alias(c) for c in quality.STATS))
+        forests = quality.grown(table, n)
+        assert len(forests) == 3 and {f.rows for f in forests} == {n * quality.shares(n)} and n * quality.shares(n) >= min(n, quality.LEAF_ROWS) * quality.TREES
+
+
+def test_quality_stage_without_a_broadcast_of_labels(spark, odd, monkeypatch):
+    docs, at = odd
+    want = sorted(map(str, quality.stage_quality(spark, docs, at).select("doc_id", F.sha2("text", 256)).collect()))
+    monkeypatch.setattr(quality, "small_side", lambda ids: ids)
+    assert sorted(map(str, quality.stage_quality(spark, docs, at).select("doc_id", F.sha2("text", 256)).collect())) == want
+
+
 def brute_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]

@@ -1,21 +1,22 @@
 """Quality rules: statistics of every text, base rules, and isolation forests over the statistics.
 
-One forest looks at symbols, one at word lengths, one at repetition. Each is grown on a bounded sample of labelled rows
-(``TREES`` trees over ``LEAF_ROWS`` rows each): nodes split a random feature at a random point of its range, and
-rows that are isolated after few splits are anomalous. Forests grow on one random half of the labelled rows that pass the base
-rules; each forest's threshold is calibrated on the other half: the lowest score at which at most ``LOSS`` of the good rows, and at most one good row
-for every ``GAIN`` bad ones, would go. A forest that has no such threshold, and any forest without labels of both
-kinds, rejects nothing.
+One forest looks at symbols, one at word lengths, one at repetition. Nodes split a random feature at a random point of its range, and rows that are
+isolated after few splits are anomalous. Every labelled row that passes the base rules has a part: by the hash of its doc_id, half of them grow the
+forests, the others calibrate them. Each growing row is dealt to one of ``TREES`` trees at least, to more where a tree would have
+fewer than ``LEAF_ROWS`` rows; more labels make larger shares, no row is left out. Each forest's threshold comes from all rows of the other half: the
+lowest score at which at most ``LOSS`` of the good rows, and at most one good row for every ``GAIN`` bad ones, would go. A forest that has no such threshold,
+and any forest without labels of both kinds, rejects nothing.
 
-``SAMPLE_ROWS`` bounds the labelled rows that are used for fitting and calibration; they are those with the lowest
-hash of doc_id, so reruns agree. The statistics themselves cover every word of every row.
+Trees are grown on executors, each from its own share, and have at most log2 ``LEAF_ROWS`` splits on a path, so that the model stays small; scores are
+compared there too. The driver holds trees, counts, and of good rows the ``LOSS`` with the highest scores. Shares go by hashes, so reruns agree.
 
 Defined cases: a null or empty text has no words and fails the base rules; long texts are read whole; repeated rows each get their result; a
 row with a null doc_id is scored like any other; labels with null quality or for unknown documents are not used; of
 several labels for one document the lowest counts; an empty table gives no rows. Columns of any names may stand beside doc_id and text; the stage returns them as they are.
 """
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import cut, give_back, small_side
 
-SAMPLE_ROWS = 20_000
 TREES, LEAF_ROWS, SEED = 100, 256, 11
 LOSS, GAIN = 0.0005, 20.0
 LEAST_WORDS, REPEAT_PERCENT = 10, 20
@@ -87,56 +87,76 @@ def features(s: np.ndarray) -> dict[str, np.ndarray]:
     return {"symbols": (symbols / c)[:, None], "word length": np.log1p(chars / words)[:, None], "repetition": np.stack([dup / np.maximum(lines, 1), repeat / words], 1)}
 
 
+def _mean_path(n: int) -> float:
+    return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
+
+
+def tree(x: np.ndarray, rng: np.random.Generator) -> tuple:
+    """Number of rows, depth, and arrays: feature (-1: a leaf), cut, left child (the right one is next), and the path length of a leaf.
+    The order of rows has no effect."""
+    most = max(1, int(np.ceil(np.log2(max(2, min(LEAF_ROWS, len(x)))))))
+    feature, at, left, path = [-1], [0.0], [0], [0.0]
+    todo = [(0, x, 0)]
+    while todo:
+        node, rows, depth = todo.pop()
+        spread = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) else []
+        if depth >= most or len(rows) < 2 or not len(spread):
+            path[node] = depth + _mean_path(len(rows))
+            continue
+        f = int(rng.choice(spread))
+        c = rng.uniform(rows[:, f].min(), rows[:, f].max())
+        feature[node], at[node], left[node] = f, c, len(feature)
+        for _ in range(2):
+            feature.append(-1), at.append(0.0), left.append(0), path.append(0.0)
+        low = rows[:, f] <= c
+        todo += [(left[node], rows[low], depth + 1), (left[node] + 1, rows[~low], depth + 1)]
+    return len(x), most, np.array(feature), np.array(at), np.array(left), np.array(path)
+
+
+def trees(rows: np.ndarray, k: int) -> list[tuple]:
+    """Tree k of each forest, on its share of rows of STATS."""
+    return [tree(x, np.random.default_rng([SEED, i, k])) for i, x in enumerate(features(rows).values())]
+
+
+def shares(n: int) -> int:
+    """To how many trees each of n rows is dealt, so that a tree has about LEAF_ROWS rows at least, or all there are."""
+    return min(TREES, max(1, -(-TREES * LEAF_ROWS // max(n, 1))))
+
+
 class Forest:
-    """Trees as arrays: feature (-1: a leaf), cut, left child (the right one is next), and the path length of a leaf."""
-
-    def __init__(self, x: np.ndarray, rng: np.random.Generator):
-        self.size = min(LEAF_ROWS, len(x))
-        self.depth = max(1, int(np.ceil(np.log2(max(2, self.size)))))
-        self.trees = [self._tree(x[rng.choice(len(x), self.size, replace=False)], rng) for _ in range(TREES)]
-
-    @staticmethod
-    def _mean_path(n: int) -> float:
-        return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-
-    def _tree(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        feature, at, left, path = [-1], [0.0], [0], [0.0]
-        todo = [(0, x, 0)]
-        while todo:
-            node, rows, depth = todo.pop()
-            spread = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) else []
-            if depth >= self.depth or len(rows) < 2 or not len(spread):
-                path[node] = depth + self._mean_path(len(rows))
-                continue
-            f = int(rng.choice(spread))
-            c = rng.uniform(rows[:, f].min(), rows[:, f].max())
-            feature[node], at[node], left[node] = f, c, len(feature)
-            for _ in range(2):
-                feature.append(-1), at.append(0.0), left.append(0), path.append(0.0)
-            low = rows[:, f] <= c
-            todo += [(left[node], rows[low], depth + 1), (left[node] + 1, rows[~low], depth + 1)]
-        return np.array(feature), np.array(at), np.array(left), np.array(path)
+    def __init__(self, grown: list[tuple]):
+        self.trees = grown
+        self.rows = sum(t[0] for t in grown)
+        self.unit = max(float(np.mean([_mean_path(t[0]) for t in grown])), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; the shorter the paths, the higher."""
         total = np.zeros(len(x))
-        for feature, at, left, path in self.trees:
+        for _, depth, feature, at, left, path in self.trees:
             node = np.zeros(len(x), int)
-            for _ in range(self.depth):
+            for _ in range(depth):
                 f = feature[node]
                 inner = f >= 0
                 node = np.where(inner, left[node] + (x[np.arange(len(x)), np.maximum(f, 0)] > at[node]), node)
             total += path[node]
-        return 2.0 ** (-total / TREES / max(self._mean_path(self.size), 1e-9))
+        return 2.0 ** (-total / len(self.trees) / self.unit)
+
+
+def lost(good: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """How many of the ascending scores of good rows are as high as each of scores, or higher."""
+    return len(good) - np.searchsorted(good, scores)
+
 
+def threshold(n_good: int, levels: Iterable[tuple[int, int, float]]) -> float:
+    """The lowest score t such that rejecting scores >= t keeps to LOSS and GAIN; infinity if there is none.
 
-def threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The lowest score t such that rejecting scores >= t keeps to LOSS and GAIN; infinity if there is none."""
-    best = np.inf
-    for t in np.unique(bad)[::-1]:
-        lost, got = int((good >= t).sum()), int((bad >= t).sum())
-        if lost <= LOSS * len(good) and lost * GAIN <= got:
-            best = t
+    levels: for each number of good rows that go with a bad row, how many bad rows it holds for, and the lowest score of these.
+    """
+    best, got = np.inf, 0
+    for gone, bad, lowest in sorted(levels):
+        got += bad
+        if n_good and gone <= LOSS * n_good and gone * GAIN <= got:
+            best = lowest
     return float(best)
 
 
@@ -144,6 +164,7 @@ class Verdict:
     """Fitted forests with their thresholds."""
 
     def __init__(self, rows: np.ndarray, quality: np.ndarray):
+        """From arrays; ``fit`` does the same with tables."""
         self.forests: list[tuple[str, Forest, float]] = []
         fails = (rows[:, 0] < LEAST_WORDS) | (100 * rows[:, 4] > REPEAT_PERCENT * rows[:, 0]) if len(rows) else np.zeros(0, bool)
         rows, quality = rows[~fails], quality[~fails]
@@ -151,11 +172,19 @@ class Verdict:
             return
         rng = np.random.default_rng(SEED)
         grown, rest = np.array_split(rng.permutation(len(rows)), 2)
-        labels = quality[rest]
-        for name, x in features(rows).items():
-            forest = Forest(x[grown], rng)
-            s = forest.score(x[rest])
-            self.forests.append((name, forest, threshold(s[labels == 1], s[labels == 0])))
+        first = rng.integers(0, TREES, len(grown))
+        shared = [trees(rows[grown[(k - first) % TREES < shares(len(grown))]], k) for k in range(TREES)]
+        for (name, x), own in zip(features(rows[rest]).items(), zip(*shared)):
+            forest = Forest(list(own))
+            s, good = forest.score(x), quality[rest] == 1
+            gone, bad = lost(np.sort(s[good]), s[~good]), s[~good]
+            self.forests.append((name, forest, threshold(int(good.sum()), [(g, int((gone == g).sum()), bad[gone == g].min()) for g in np.unique(gone)])))
+
+    @classmethod
+    def of(cls, forests: list[tuple[str, Forest, float]]) -> "Verdict":
+        out = cls(np.zeros((0, len(STATS)), np.int64), np.zeros(0, np.int64))
+        out.forests = forests
+        return out
 
     def reject(self, rows: np.ndarray) -> np.ndarray:
         out, x = np.zeros(len(rows), bool), features(rows)
@@ -165,13 +194,63 @@ class Verdict:
         return out
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """The labels that are used, one for a document."""
+    return labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
+def grown(rows: DataFrame, n: int) -> list[Forest]:
+    """The forests on all n rows: STATS and the first of the trees that a row is dealt to."""
+
+    def run(share: pa.Table) -> pa.Table:
+        k = share["tree"][0].as_py()
+        own = trees(np.stack([share[s].to_numpy() for s in STATS], 1), k)
+        return pa.table({"tree": pa.array([k], pa.int32()), "own": pa.array([pickle.dumps(own)], pa.binary())})
+
+    each = rows.select(F.explode(F.sequence(F.lit(0), F.lit(shares(n) - 1))).alias("more"), "*")
+    dealt = each.select(F.pmod(F.col("first") + F.col("more"), F.lit(TREES)).cast("int").alias("tree"), *STATS).repartition(TREES // 2, "tree")
+    got = dealt.groupBy("tree").applyInArrow(run, "tree int, own binary").collect()
+    return [Forest(list(own)) for own in zip(*(pickle.loads(bytes(r["own"])) for r in sorted(got, key=lambda r: r["tree"])))]
+
+
+def thresholds(forests: list[Forest], rows: DataFrame, n_good: int) -> list[float]:
+    """Each forest's threshold, from all rows: quality and STATS."""
+    names, most = [f"s{i}" for i in range(len(forests))], int(LOSS * n_good)
+
+    def scores(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for b in batches:
+            x = features(np.stack([np.asarray(c, np.int64) for c in b], 1))
+            yield pa.StructArray.from_arrays([pa.array(f.score(v)) for f, v in zip(forests, x.values())], names)
+
+    scored = cut(rows.select("quality", F.arrow_udf(scores, ", ".join(f"{s} double" for s in names))(*STATS).alias("s")).select("quality", "s.*"))
+
+    def levels(s: str) -> list[tuple]:
+        # no threshold is as low as the last of these
+        good = np.sort([r[0] for r in scored.where("quality = 1").select(s).orderBy(F.desc(s)).limit(most + 1).collect()])
+
+        def gone(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for a in arrays:
+                yield pa.array(lost(good, np.asarray(a)).astype(np.int64))
+
+        bad = scored.where("quality = 0").select(s, F.arrow_udf(gone, "bigint")(s).alias("gone")).where(F.col("gone") <= most)
+        return [tuple(r) for r in bad.groupBy("gone").agg(F.count("*"), F.min(s)).collect()]
+
+    return [threshold(n_good, levels(s)) for s in names]
+
+
 def fit(rows: DataFrame, labels: DataFrame) -> Verdict:
-    """rows: doc_id and STATS. The labelled sample is at most SAMPLE_ROWS rows of seven numbers on the driver."""
-    picked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    got = rows.select("doc_id", *STATS).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("quality", *STATS)).alias("r"))
-    table = got.orderBy("doc_id").select("r.quality", *(f"r.{s}" for s in STATS)).toPandas().to_numpy(np.int64)
-    return Verdict(table[:, 1:], table[:, 0])
+    """rows: doc_id and STATS. Of several rows of a document the lowest counts."""
+    h = F.xxhash64(F.lit(SEED), F.col("doc_id"))
+    one = rows.select("doc_id", F.struct(*STATS).alias("r")).groupBy("doc_id").agg(F.min("r").alias("r"))
+    used = one.join(labelled(labels), "doc_id").select("quality", "r.*", (F.pmod(h, F.lit(2)) == 0).alias("grows"), F.pmod(F.shiftright(h, 1), F.lit(TREES)).alias("first"))
+    used = cut(used.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))))
+    n = {(r["grows"], r["quality"]): r["count"] for r in used.groupBy("grows", "quality").count().collect()}
+    growing, good, bad = n.get((True, 0), 0) + n.get((True, 1), 0), n.get((False, 1), 0), n.get((False, 0), 0)
+    if not growing or not good or not bad:
+        return Verdict.of([])
+    forests = grown(used.where("grows"), growing)
+    names = features(np.zeros((0, len(STATS))))
+    return Verdict.of(list(zip(names, forests, thresholds(forests, used.where(~F.col("grows")), good))))
 
 
 def rejected(verdict: Verdict, columns: list[Column]) -> Column:
@@ -214,8 +293,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass. Statistics of labelled documents are computed once more for fitting: less than carrying texts along."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    picked = cut(labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
-    sample = docs.select("doc_id", "text").join(small_side(picked.select("doc_id")), "doc_id", "left_semi")
-    rows = cut(sample.select("doc_id", stats(F.col("text")).alias("s")).select("doc_id", "s.*"))
+    picked = cut(labelled(labels))
+    ids, some = picked.select("doc_id"), docs.select("doc_id", "text")
+    side = small_side(ids)
+    if side is not ids:  # else the numbers are shuffled, not the texts
+        some = some.join(side, "doc_id", "left_semi")
+    rows = cut(some.select("doc_id", stats(F.col("text")).alias("s")).select("doc_id", "s.*"))
     verdict = fit(rows, picked)
     return docs.where(passed(verdict, docs["text"]))
