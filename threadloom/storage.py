@@ -31,6 +31,12 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_folder(spark: SparkSession, at: str) -> bool:
+    """Whether a path of any store that Spark can read is a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their place in ``order``, from 0, counted without bringing all of them to one task.
 
