@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import storage
 from threadloom.operators import index
 from threadloom.plans import catalog
 
@@ -38,3 +39,35 @@ def test_queries_save_only_what_they_look_up(spark, folder, monkeypatch):
     at = f"{folder}/."  # another path, for which nothing is saved
     assert rows(catalog._engine(spark, at, "'red fox'").search("'red fox'")) == [(0,)] and saved == ["postings"]
     assert [r["cid"] for r in catalog._engine(spark, at, "license").search("license").collect()] == [7] and saved == ["postings", "terms"]
+
+
+def test_saving_keeps_nothing_beside_the_index(spark, tmp_path, monkeypatch):
+    """Texts were analysed into a checkpoint of all columns, several times the size of the index, which was dealt out and sorted."""
+    monkeypatch.setattr(index, "TASK_ROWS", 3)
+    monkeypatch.setattr(index, "LAYOUT_SHARE", 1.0)
+    docs = spark.createDataFrame(ROWS, "cid long, text string")
+    built = index.build(docs)
+    monkeypatch.setattr(type(docs), "checkpoint", lambda *a, **k: pytest.fail("rows were kept beside the index"))
+    built.save(str(tmp_path))
+    got = index.Index.load(spark, str(tmp_path))
+    assert rows(got.postings) == rows(built.postings) and rows(got.terms) == rows(built.terms)
+    key = lambda x: str(x)
+    assert sorted(map(tuple, got.docs.collect()), key=key) == sorted(map(tuple, built.docs.select(got.docs.columns).collect()), key=key)
+    files = got.postings.groupBy(F.input_file_name().alias("file")).agg(F.min(F.struct("term", "cid")).alias("low"), F.max(F.struct("term", "cid")).alias("high"), F.count("*").alias("n")).orderBy("low").collect()
+    assert len(files) > 2 and all(a["high"] < b["low"] for a, b in zip(files, files[1:]))
+
+
+def test_ranges_split_a_common_term(spark):
+    bounds = [("a", 3), ("b", 1), ("b", 5), ("b", 9), ("c", 0)]
+    places = [("a", 0), ("a", 3), ("aa", 0), ("b", 0), ("b", 1), ("b", 4), ("b", 5), ("b", 10), ("bz", 0), ("c", 0), ("z", 7)]
+    got = spark.createDataFrame(places, "term string, cid long").select("term", "cid", index._place(bounds, 0, len(bounds)).alias("at")).collect()
+    assert [r["at"] for r in got] == [sum(b <= p for b in bounds) for p in places]
+
+
+def test_clustered(spark, tmp_path):
+    """Partitions that hold ranges of the key already aren't dealt out again; others are."""
+    cores = spark.sparkContext.defaultParallelism
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    apart, mixed = spark.range(0, 100, 1, cores), spark.range(0, 100, 1, 3)
+    assert "Exchange" not in plan(storage.clustered(apart, "id")) and "rangepartitioning" in plan(storage.clustered(mixed, "id"))
+    assert rows(storage.clustered(mixed, "id")) == rows(mixed)

@@ -1,14 +1,15 @@
 """The inverted index: documents, postings, terms and replies as four DataFrames."""
 
+import math
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import porter, porter2
 from threadloom.functions.text import STOPWORDS, by_term, mapped, positioned, simple_tokens, term_starts, treebank_tokens, with_terms, without_comments
-from threadloom.storage import cut
+from threadloom.storage import clustered
 
 #: Stemmers by name; any function of a word to a word may stand in for one.
 STEMMERS: dict[str, Callable[[str], str]] = {"porter": porter.stem, "porter2": porter2.stem}
@@ -72,6 +73,12 @@ class Analyzer:
 SIMPLE, TREEBANK = Analyzer(), Analyzer(treebank_tokens, stemmer="porter")
 TARGETS = ("docs", "postings", "terms", "replies")
 
+#: Postings of one task, so that it sorts in memory however large the table is.
+TASK_ROWS = 1_000_000
+
+#: Documents, and the share of their postings, that the layout of tasks and files is chosen from. All rows are stored, whatever the layout.
+LAYOUT_DOCS, LAYOUT_SHARE = 2_000, 0.1
+
 
 @dataclass(frozen=True)
 class Index:
@@ -81,29 +88,44 @@ class Index:
     replies: DataFrame  # parent_cid, child_cid
     analyzer: Analyzer
     n_docs: int
+    source: DataFrame | None = None  # cid, text, parent_cid that docs and postings are analysed from; None for stored ones
 
     def save(self, path: str, targets: Iterable[str] = TARGETS) -> None:
         """Postings and terms are clustered by term, so a term's lookup reads few row groups; replies by parent, docs by cid.
 
-        Texts are analysed once: what is dealt out by ranges, for which Spark samples it first, is the stored analysis.
+        Nothing is analysed in order to be sampled for ranges, or kept beside the targets: texts are dealt out before they
+        are analysed, postings by bounds from some documents, and terms are counted from the stored postings.
         """
         targets = set(targets)
         if wrong := targets - set(TARGETS):
             raise ValueError(f"no such targets: {sorted(wrong)}")
-        if targets & {"docs", "postings", "terms"} and "entries" in self.docs.columns:
-            kept = cut(self.docs)
-            stored = Index(kept, _flat(kept), _terms(_flat(kept), self.n_docs), self.replies, self.analyzer, self.n_docs)
-        else:
-            stored = self
+        postings = self.postings
         if "docs" in targets:
-            stored.docs.drop("entries").repartitionByRange("cid").sortWithinPartitions("cid").write.mode("overwrite").parquet(f"{path}/docs")
+            docs = self.docs.repartitionByRange("cid").sortWithinPartitions("cid") if self.source is None else _documents(clustered(self.source, "cid"), self.analyzer)
+            docs.write.mode("overwrite").parquet(f"{path}/docs")
         if "postings" in targets:
-            stored.postings.repartitionByRange("term", "cid").sortWithinPartitions("term", "cid").write.mode("overwrite").parquet(f"{path}/postings")
+            rows = postings.repartitionByRange("term", "cid") if self.source is None else postings.repartitionById(*self._ranges())
+            rows.sortWithinPartitions("term", "cid").write.mode("overwrite").parquet(f"{path}/postings")
+            postings = postings.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
         if "terms" in targets:
-            stored.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+            _terms(postings, self.n_docs).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         if "replies" in targets:
             self.replies.repartitionByRange("parent_cid").sortWithinPartitions("parent_cid").write.mode("overwrite").parquet(f"{path}/replies")
 
+    def _seen(self) -> tuple[list[tuple[str, int]], float]:
+        """(term, cid) of some postings, in order, and how many postings each of them stands for."""
+        share = min(1.0, LAYOUT_DOCS / max(1, self.n_docs))
+        some = self.source.sample(share, seed=1) if share < 1 else self.source
+        got = postings_of(some, self.analyzer).select("term", "cid").sample(LAYOUT_SHARE, seed=1).collect()  # some tens of thousands
+        return sorted((r["term"], r["cid"]) for r in got), 1 / share / LAYOUT_SHARE
+
+    def _ranges(self) -> tuple[int, Column]:
+        """A number of ranges of (term, cid), and the range of a row. A common term has several."""
+        seen, each = self._seen()
+        n = _tasks(self.docs.sparkSession, len(seen) * each)
+        bounds = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
+        return len(bounds) + 1, _place(bounds, 0, len(bounds))
+
     @staticmethod
     def load(spark: SparkSession, path: str, analyzer: Analyzer = SIMPLE) -> "Index":
         docs, postings, terms, replies = (spark.read.parquet(f"{path}/{x}") for x in TARGETS)
@@ -151,7 +173,7 @@ class Index:
 
     def keep(self) -> "Index":
         """Holds terms and replies in the executors' memory for many lookups; close() lets go."""
-        return Index(self.docs, self.postings, self.terms.persist(), self.replies.persist(), self.analyzer, self.n_docs)
+        return replace(self, terms=self.terms.persist(), replies=self.replies.persist())
 
     def close(self) -> None:
         for x in (self.docs, self.postings, self.terms, self.replies):
@@ -164,6 +186,21 @@ class Index:
         self.close()
 
 
+def _tasks(spark: SparkSession, rows: float) -> int:
+    """Tasks for so many rows: TASK_ROWS each at most, and all cores if there is enough to do."""
+    return max(math.ceil(rows / TASK_ROWS), min(spark.sparkContext.defaultParallelism, int(rows) // 50_000), 1)
+
+
+def _place(bounds: list[tuple[str, int]], low: int, high: int) -> Column:
+    """How many of the ordered bounds aren't above a row's (term, cid), as a tree of comparisons; low and high are known to hold."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    term, cid = bounds[mid]
+    below = (F.col("term") < term) | ((F.col("term") == term) & (F.col("cid") < cid))
+    return F.when(below, _place(bounds, low, mid)).otherwise(_place(bounds, mid + 1, high))
+
+
 def _terms(postings: DataFrame, n_docs: int) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.lit(float(n_docs)) / F.col("df"))
 
@@ -201,13 +238,19 @@ def replies_of(docs: DataFrame) -> DataFrame:
     return docs.where("parent_cid is not null and parent_cid <> 0 and parent_cid <> cid").select("parent_cid", F.col("cid").alias("child_cid"))
 
 
+def _documents(rows: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """rows (cid, text, parent_cid) with toks and doc_len."""
+    docs = analyzer.placed(rows).withColumn("doc_len", F.size("placed")).withColumn("toks", analyzer.plain(F.col("text")))
+    return docs.select("cid", "text", "toks", "doc_len", "parent_cid")
+
+
 def build(docs: DataFrame, analyzer: Analyzer = SIMPLE) -> Index:
     """docs: cid, text and, if there are threads, parent_cid."""
     if "parent_cid" not in docs.columns:
         docs = docs.withColumn("parent_cid", F.lit(None).cast("bigint"))
-    rows = analysed(docs.select("cid", "text", "parent_cid"), analyzer).withColumn("toks", analyzer.plain(F.col("text")))
-    postings, n = postings_of(docs, analyzer), docs.count()
-    return Index(rows.select("cid", "text", "toks", "doc_len", "parent_cid", "entries"), postings, _terms(postings, n), replies_of(docs), analyzer, n)
+    source = docs.select("cid", "text", "parent_cid")
+    postings, n = postings_of(source, analyzer), docs.count()
+    return Index(_documents(spread(source), analyzer), postings, _terms(postings, n), replies_of(source), analyzer, n, source)
 
 
 #: Comment ids of one block of a posting list.

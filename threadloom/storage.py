@@ -37,6 +37,16 @@ def is_folder(spark: SparkSession, at: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
 
+def clustered(rows: DataFrame, key: str) -> DataFrame:
+    """rows in order of a key, over all cores at least: as they are where their partitions hold ranges of it already, else dealt out by ranges."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.rdd.getNumPartitions()
+    spans = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low is not null").orderBy("low").collect()  # one row a partition
+    if len(spans) < cores or any(a["high"] >= b["low"] for a, b in zip(spans, spans[1:])):
+        rows = rows.repartitionByRange(max(cores, parts), key)
+    return rows.sortWithinPartitions(key)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their place in ``order``, from 0, counted without bringing all of them to one task.
 
