@@ -71,3 +71,12 @@ def test_clustered(spark, tmp_path):
     apart, mixed = spark.range(0, 100, 1, cores), spark.range(0, 100, 1, 3)
     assert "Exchange" not in plan(storage.clustered(apart, "id")) and "rangepartitioning" in plan(storage.clustered(mixed, "id"))
     assert rows(storage.clustered(mixed, "id")) == rows(mixed)
+
+
+def test_packing_deals_postings_out_once(spark):
+    """Posting lists were joined with the ends of their blocks, and packed by each task of the scan before they were dealt out."""
+    p = spark.createDataFrame([("a", c, 0.0, [0]) for c in (5, 1, 9, index.GAP_BLOCK * 2 + 3)] + [("b", 7, 0.0, [0])], "term string, cid long, tf double, positions array<int>")
+    got = index.from_gap_blocks(index.gap_blocks(p, 3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(term" in plan and "Join" not in plan and plan.index("Exchange") > plan.index("collect_list")
+    assert rows(got) == rows(p.select("term", "cid"))

@@ -119,6 +119,11 @@ class Index:
         got = postings_of(some, self.analyzer).select("term", "cid").sample(LAYOUT_SHARE, seed=1).collect()  # some tens of thousands
         return sorted((r["term"], r["cid"]) for r in got), 1 / share / LAYOUT_SHARE
 
+    def tasks(self) -> int:
+        """How many tasks the postings should be dealt out to."""
+        seen, each = self._seen()
+        return _tasks(self.docs.sparkSession, len(seen) * each)
+
     def _ranges(self) -> tuple[int, Column]:
         """A number of ranges of (term, cid), and the range of a row. A common term has several."""
         seen, each = self._seen()
@@ -257,7 +262,13 @@ def build(docs: DataFrame, analyzer: Analyzer = SIMPLE) -> Index:
 GAP_BLOCK = 1 << 16
 
 
-def _blocked(postings: DataFrame) -> DataFrame:
+def _blocked(postings: DataFrame, tasks: int | None) -> DataFrame:
+    """term, cid, block of postings, dealt out by term and block: a common term's list goes to many tasks, each of which sorts its rows in memory if tasks (``Index.tasks``) is given."""
+    rows = postings.select("term", "cid", F.floor(F.col("cid") / GAP_BLOCK).alias("block"))
+    return rows.repartition(*([tasks] if tasks else []), "term", "block")
+
+
+def _chained(postings: DataFrame) -> DataFrame:
     """postings with block and prev, the id before each one in its list: a list is sorted block by block, and blocks are chained by their last ids."""
     rows = postings.select("term", "cid", F.floor(F.col("cid") / GAP_BLOCK).alias("block"))
     blocks = rows.groupBy("term", "block").agg(F.max("cid").alias("last"))
@@ -268,12 +279,12 @@ def _blocked(postings: DataFrame) -> DataFrame:
 
 def gaps(postings: DataFrame) -> DataFrame:
     """term, cid, gap: comment ids as differences along each posting list. A common term's list goes to many tasks."""
-    return _blocked(postings).select("term", "cid", (F.col("cid") - F.coalesce("prev", F.lit(0))).alias("gap"))
+    return _chained(postings).select("term", "cid", (F.col("cid") - F.coalesce("prev", F.lit(0))).alias("gap"))
 
 
-def gap_blocks(postings: DataFrame) -> DataFrame:
+def gap_blocks(postings: DataFrame, tasks: int | None = None) -> DataFrame:
     """term, block, first, gaps array<bigint>: the packed form of ids, in blocks of bounded size."""
-    rows = _blocked(postings).groupBy("term", "block").agg(F.array_sort(F.collect_list("cid")).alias("c"))
+    rows = _blocked(postings, tasks).groupBy("term", "block").agg(F.array_sort(F.collect_list("cid")).alias("c"))
     return rows.select("term", "block", F.get("c", 0).alias("first"), F.transform("c", lambda x, i: x - F.coalesce(F.get("c", i - 1), x)).alias("gaps"))
 
 
