@@ -80,3 +80,15 @@ def test_packing_deals_postings_out_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "hashpartitioning(term" in plan and "Join" not in plan and plan.index("Exchange") > plan.index("collect_list")
     assert rows(got) == rows(p.select("term", "cid"))
+
+
+def test_gaps_deal_postings_out_once(spark):
+    """Each posting was joined with the end of the block before its own."""
+    b = index.GAP_BLOCK
+    lists = {"a": [5, 1, 9, b - 1, b, b * 2 + 3, b * 7, b * 7], "b": [b * 3]}
+    p = spark.createDataFrame([(t, c, 0.0, [0]) for t, cs in lists.items() for c in cs], "term string, cid long, tf double, positions array<int>")
+    got = index.gaps(p, 3)
+    want = [(t, c, c - last) for t, cs in lists.items() for last, c in zip([0, *sorted(cs)], sorted(cs))]
+    assert rows(got) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()  # as it was executed
+    assert "Join" not in plan and "ReusedExchange" in plan

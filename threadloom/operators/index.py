@@ -268,18 +268,13 @@ def _blocked(postings: DataFrame, tasks: int | None) -> DataFrame:
     return rows.repartition(*([tasks] if tasks else []), "term", "block")
 
 
-def _chained(postings: DataFrame) -> DataFrame:
-    """postings with block and prev, the id before each one in its list: a list is sorted block by block, and blocks are chained by their last ids."""
-    rows = postings.select("term", "cid", F.floor(F.col("cid") / GAP_BLOCK).alias("block"))
-    blocks = rows.groupBy("term", "block").agg(F.max("cid").alias("last"))
-    before = blocks.select("term", "block", F.lag("last").over(Window.partitionBy("term").orderBy("block")).alias("before"))
-    inside = Window.partitionBy("term", "block").orderBy("cid")
-    return rows.withColumn("prev", F.lag("cid").over(inside)).join(before, ["term", "block"]).withColumn("prev", F.coalesce("prev", "before"))
-
-
-def gaps(postings: DataFrame) -> DataFrame:
-    """term, cid, gap: comment ids as differences along each posting list. A common term's list goes to many tasks."""
-    return _chained(postings).select("term", "cid", (F.col("cid") - F.coalesce("prev", F.lit(0))).alias("gap"))
+def gaps(postings: DataFrame, tasks: int | None = None) -> DataFrame:
+    """term, cid, gap: comment ids as differences along each posting list. The first id of a block follows the last one of the block before; the others, their neighbour."""
+    rows = _blocked(postings, tasks)
+    inside = rows.withColumn("prev", F.lag("cid").over(Window.partitionBy("term", "block").orderBy("cid"))).where("prev is not null")
+    ends = rows.groupBy("term", "block").agg(F.min("cid").alias("cid"), F.max("cid").alias("last"))
+    firsts = ends.withColumn("prev", F.coalesce(F.lag("last").over(Window.partitionBy("term").orderBy("block")), F.lit(0)))
+    return inside.select("term", "cid", "prev").union(firsts.select("term", "cid", "prev")).select("term", "cid", (F.col("cid") - F.col("prev")).alias("gap"))
 
 
 def gap_blocks(postings: DataFrame, tasks: int | None = None) -> DataFrame:
